@@ -18,11 +18,17 @@ from noteflare.constants import (
     FIXTURE_SINCE,
     FLARE_CORR_FEATURES,
     PSORIASIS_DX_IDS,
+    SAFE_NUMERIC_COLS,
     TEXT_COLS,
+    TFIDF_INPUT_COLS,
 )
 from noteflare.functions import features as FE
 from noteflare.functions import text as X
 from noteflare.operators import eda, extract, label
+from noteflare.operators import evaluate as E
+from noteflare.operators import model as M
+from noteflare.operators import scoring as S
+from noteflare.operators import vectors as V
 from noteflare.sources.fixtures import base_table, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,3 +242,150 @@ def q_monthly_flare_rate(spark, sf_dir):
         F.count(F.lit(1)).alias("n_notes"),
         F.avg(F.col(label.TARGET).cast("double")).alias("next_flare_rate"),
     ))
+
+
+# ---------------------------------------------------------------------------
+# vectors (V2-V4, V6)
+# ---------------------------------------------------------------------------
+
+def doc_split(doc_col: str = "doc_id") -> F.Column:
+    """V1 applied to documents: the same seeded hash split, keyed by document."""
+    return label.split_column(key=doc_col)
+
+
+def doc_vocabulary(spark, sf_dir):
+    docs = base_table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = V.doc_terms(docs, "doc_id", "text")
+    train = docs.where(doc_split() == "train")
+    voc = V.fit_vocabulary(terms.join(train.select("doc_id"), "doc_id", "left_semi"), train)
+    return docs, terms, voc
+
+
+@register("doc_vocab")
+def q_doc_vocab(spark, sf_dir):
+    _, _, voc = doc_vocabulary(spark, sf_dir)
+    return canonical(voc.terms)
+
+
+@register("doc_tfidf")
+def q_doc_tfidf(spark, sf_dir):
+    _, terms, voc = doc_vocabulary(spark, sf_dir)
+    return canonical(V.tfidf(terms, voc, "doc_id").select("doc_id", "term", "term_index", "tfidf"))
+
+
+def note_text(spark, sf_dir) -> DataFrame:
+    """X8 over the masked text of labelled notes, with the patient split."""
+    lab = label.group_split(label.next_visit_label(FE.add_masked_text(features(spark, sf_dir))))
+    return lab.withColumn("tfidf_text", X.join_fields(*TFIDF_INPUT_COLS))
+
+
+@register("note_tfidf")
+def q_note_tfidf(spark, sf_dir):
+    nt = note_text(spark, sf_dir).select("noteId", "split", "tfidf_text")
+    terms = V.doc_terms(nt, "noteId", "tfidf_text")
+    train = nt.where(F.col("split") == "train")
+    voc = V.fit_vocabulary(terms.join(train.select("noteId"), "noteId", "left_semi"), train)
+    return canonical(V.tfidf(terms, voc, "noteId").select("noteId", "term", "term_index", "tfidf"))
+
+
+@register("scale_numeric")
+def q_scale_numeric(spark, sf_dir):
+    lab = label.group_split(labelled(spark, sf_dir))
+    scaler = V.fit_scaler(lab.where(F.col("split") == "train"), SAFE_NUMERIC_COLS)
+    return canonical(scaler.transform(lab, SAFE_NUMERIC_COLS).select("noteId", "split", *SAFE_NUMERIC_COLS))
+
+
+# ---------------------------------------------------------------------------
+# linear scorer (M3), evaluation (E1-E5), scoring
+# ---------------------------------------------------------------------------
+
+def fitted_scorer(spark, sf_dir):
+    """Labelled notes with split and the scorer fitted on the train side."""
+    lab = label.group_split(labelled(spark, sf_dir))
+    scorer = M.fit_linear_scorer(lab.where(F.col("split") == "train"), label.TARGET, SAFE_NUMERIC_COLS)
+    return lab, scorer
+
+
+def test_predictions(spark, sf_dir) -> DataFrame:
+    lab, scorer = fitted_scorer(spark, sf_dir)
+    test = scorer.transform(lab.where(F.col("split") == "test"))
+    return test.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+
+
+def explained_notes(spark, sf_dir) -> DataFrame:
+    """Every extracted note scored and explained (K1-K4)."""
+    _, scorer = fitted_scorer(spark, sf_dir)
+    scored = scorer.transform(features(spark, sf_dir))
+    return S.explain_notes(scored, scorer.contributions())
+
+
+@register("linear_score")
+def q_linear_score(spark, sf_dir):
+    lab, scorer = fitted_scorer(spark, sf_dir)
+    return canonical(scorer.transform(lab).select("noteId", "split", label.TARGET, "probability"))
+
+
+@register("confusion")
+def q_confusion(spark, sf_dir):
+    return E.confusion(test_predictions(spark, sf_dir), label.TARGET, "prediction")
+
+
+@register("class_report")
+def q_class_report(spark, sf_dir):
+    return canonical(E.class_report(test_predictions(spark, sf_dir), label.TARGET, "prediction"))
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return canonical(E.roc_auc(test_predictions(spark, sf_dir), "probability", label.TARGET))
+
+
+@register("roc_points")
+def q_roc_points(spark, sf_dir):
+    return canonical(E.roc_points(test_predictions(spark, sf_dir), "probability", label.TARGET))
+
+
+@register("subgroup_auc")
+def q_subgroup_auc(spark, sf_dir):
+    return canonical(E.subgroup_auc(test_predictions(spark, sf_dir), "probability", label.TARGET,
+                                    "patient_gender", min_rows=30))
+
+
+@register("note_risk")
+def q_note_risk(spark, sf_dir):
+    ex = explained_notes(spark, sf_dir)
+    return canonical(ex.select("noteId", "patientId", "flare_probability", "flare_label",
+                               "flare_risk_level", "explanation_summary"))
+
+
+@register("top_influences")
+def q_top_influences(spark, sf_dir):
+    ex = explained_notes(spark, sf_dir)
+    return canonical(ex.select("noteId", F.posexplode("key_influences").alias("position", "infl")).select(
+        "noteId", "position", "infl.feature", "infl.impact", "infl.direction"))
+
+
+@register("patient_rollup")
+def q_patient_rollup(spark, sf_dir):
+    return canonical(S.patient_rollup(explained_notes(spark, sf_dir)))
+
+
+@register("patients_without_notes")
+def q_patients_without_notes(spark, sf_dir):
+    patients = base_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("patientId"))
+    return canonical(S.patients_without_notes(patients, S.patient_rollup(explained_notes(spark, sf_dir))))
+
+
+@register("risky_notes")
+def q_risky_notes(spark, sf_dir):
+    rn = S.risky_notes(explained_notes(spark, sf_dir))
+    return canonical(rn.select("patientId", "noteId", "noteDate", "flare_probability", "flare_risk_level",
+                               F.transform("patient_influences", lambda s: s["feature"]).alias("influences")))
+
+
+@register("contract_check")
+def q_contract_check(spark, sf_dir):
+    ex = explained_notes(spark, sf_dir).select("noteId", "patientId", "flare_probability", "flare_label")
+    valid, bad = S.contract_check(ex)
+    return canonical(valid.withColumn("violations", F.lit("")).unionByName(
+        bad.withColumn("violations", F.array_join("violations", "; "))))
