@@ -389,3 +389,100 @@ def q_contract_check(spark, sf_dir):
     valid, bad = S.contract_check(ex)
     return canonical(valid.withColumn("violations", F.lit("")).unionByName(
         bad.withColumn("violations", F.array_join("violations", "; "))))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML path (V5, V7, M1, M2, M4, M5, S9) - rows-only checks
+# ---------------------------------------------------------------------------
+
+_FITS: dict = {}
+
+
+def gbt_run(spark, sf_dir):
+    """Fit once per (session, data dir): TF-IDF -> SVD -> assemble -> GBT -> Platt."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _FITS:
+        return _FITS[key]
+    from noteflare.operators import ml
+    from noteflare.session import cut_lineage
+
+    nt = note_text(spark, sf_dir)
+    terms = V.doc_terms(nt.select("noteId", "tfidf_text"), "noteId", "tfidf_text")
+    train_notes = nt.where(F.col("split") == "train")
+    voc = V.fit_vocabulary(terms.join(train_notes.select("noteId"), "noteId", "left_semi"), train_notes)
+    weights = V.tfidf(terms, voc, "noteId")
+    n_terms = voc.terms.count()
+    svd = ml.fit_svd(weights.join(train_notes.select("noteId"), "noteId", "left_semi"), "noteId", n_terms)
+    data = ml.svd_project(weights, svd, "noteId", nt.drop("tfidf_text"))
+    data = label.with_class_weight(data.where(F.col("split") == "train")).unionByName(
+        data.where(F.col("split") == "test").withColumn("weight", F.lit(1.0)))
+    data = data.withColumn("is_valid", (F.col("split") == "train") & ml.validation_flag())
+    data = cut_lineage(ml.assemble(data).select(
+        "noteId", "patientId", "noteDate", "split", "is_valid", "weight", label.TARGET, "patient_gender",
+        "features"))
+    train = data.where(F.col("split") == "train")
+    model = ml.fit_gbt(train, label.TARGET, "weight")
+    scored = ml.positive_probability(model.transform(data))
+    platt = ml.fit_platt(scored.where(F.col("is_valid")), label.TARGET)
+    names = ml.feature_names(SAFE_NUMERIC_COLS, svd.k)
+    out = {"data": data, "model": model, "scored": scored, "platt": platt, "names": names, "svd": svd,
+           "weights": weights}
+    _FITS[key] = out
+    return out
+
+
+@register("svd_project")
+def q_svd_project(spark, sf_dir):
+    r = gbt_run(spark, sf_dir)
+    from pyspark.ml.functions import vector_to_array
+    return r["data"].select("noteId", F.slice(vector_to_array("features"), len(SAFE_NUMERIC_COLS) + 1,
+                                              r["svd"].k).alias("svd"))
+
+
+@register("gbt_train_eval")
+def q_gbt_train_eval(spark, sf_dir):
+    r = gbt_run(spark, sf_dir)
+    test = r["scored"].where(F.col("split") == "test").select(
+        "noteId", "patientId", label.TARGET, F.col("p").alias("probability"),
+        F.col("prediction").cast("int").alias("prediction"))
+    return test
+
+
+@register("gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    """Test-fold AUC and weighted report of the boosted model (rows-only)."""
+    r = gbt_run(spark, sf_dir)
+    test = r["scored"].where(F.col("split") == "test").withColumn("pred", F.col("prediction").cast("int"))
+    auc = E.roc_auc(test, "p", label.TARGET).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
+    rep = E.class_report(test, label.TARGET, "pred").where(F.col("class") == "weighted avg")
+    w = rep.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])))
+    return auc.unionByName(w)
+
+
+@register("calibrated")
+def q_calibrated(spark, sf_dir):
+    from noteflare.operators import ml
+    r = gbt_run(spark, sf_dir)
+    out = ml.calibrate(r["scored"].where(F.col("split") == "test"), r["platt"])
+    return out.select("noteId", F.col("p").alias("probability"), "p_calibrated")
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    from noteflare.operators import ml
+    r = gbt_run(spark, sf_dir)
+    return ml.feature_importance(r["model"], r["names"], top=20)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save a new version, load the latest, score the test fold with it."""
+    from noteflare.operators import ml
+    from noteflare.sources.io import scratch_dir
+    r = gbt_run(spark, sf_dir)
+    root = scratch_dir(spark, "models")
+    ml.save_version(r["model"], root)
+    loaded = ml.load_latest(root)
+    test = r["data"].where(F.col("split") == "test")
+    return ml.positive_probability(loaded.transform(test)).select("noteId", F.col("p").alias("probability"))
