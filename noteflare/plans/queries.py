@@ -29,6 +29,7 @@ from noteflare.operators import evaluate as E
 from noteflare.operators import model as M
 from noteflare.operators import scoring as S
 from noteflare.operators import vectors as V
+from noteflare.sources import io as IO
 from noteflare.sources.fixtures import base_table, fixture_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,3 +487,88 @@ def q_model_roundtrip(spark, sf_dir):
     loaded = ml.load_latest(root)
     test = r["data"].where(F.col("split") == "test")
     return ml.positive_probability(loaded.transform(test)).select("noteId", F.col("p").alias("probability"))
+
+
+# ---------------------------------------------------------------------------
+# sources / sinks (S2-S8, P10) and streaming
+# ---------------------------------------------------------------------------
+
+def request_rows(spark, sf_dir) -> DataFrame:
+    """Extracted notes in the scoring-request layout (ids and dates as text)."""
+    n = notes(spark, sf_dir, with_names=False)
+    return n.select(F.col("patientId").cast("string").alias("patientId"),
+                    F.col("noteId").cast("string").alias("noteId"),
+                    F.date_format("noteDate", "yyyy-MM-dd HH:mm:ss").alias("noteDate"),
+                    *[F.col(f"`{c}`") for c in IO.REQUEST_TEXT_FIELDS])
+
+
+def _shape_col() -> F.Column:
+    """Spread notes over the three JSON line shapes by note id."""
+    k = F.col("noteId").cast("long") % 3
+    return F.when(k == 0, "object").when(k == 1, "wrapped").otherwise("list")
+
+
+def _risk_cols(df: DataFrame) -> DataFrame:
+    return canonical(df.select("noteId", "patientId", "flare_probability", "flare_label", "flare_risk_level",
+                               "explanation_summary"))
+
+
+@register("json_batch_score")
+def q_json_batch_score(spark, sf_dir):
+    """S4 + K8: notes written as JSON lines in mixed shapes, read back, scored."""
+    from noteflare.streaming.score_stream import scored_notes
+    path = IO.scratch_dir(spark, "json-batch")
+    IO.write_note_batches(request_rows(spark, sf_dir).withColumn("_shape", _shape_col()), path)
+    _, scorer = fitted_scorer(spark, sf_dir)
+    valid, _bad = S.contract_check(scored_notes(IO.read_note_batch_json(spark, path), scorer))
+    return _risk_cols(valid)
+
+
+@register("csv_roundtrip_score")
+def q_csv_roundtrip(spark, sf_dir):
+    """S2 + S3: note table to CSV (multi-line quoted text) and back, then scored."""
+    from noteflare.streaming.score_stream import scored_notes
+    path = IO.scratch_dir(spark, "csv-notes")
+    IO.write_csv(request_rows(spark, sf_dir), path)
+    _, scorer = fitted_scorer(spark, sf_dir)
+    return _risk_cols(scored_notes(IO.read_note_csv(spark, path), scorer))
+
+
+@register("parquet_features_roundtrip")
+def q_parquet_roundtrip(spark, sf_dir):
+    """Feature table written to Parquet (partitioned by split) and read back."""
+    path = IO.scratch_dir(spark, "features")
+    lab = label.group_split(labelled(spark, sf_dir))
+    IO.write_parquet(lab.select("noteId", "patientId", "split", label.TARGET, *SAFE_NUMERIC_COLS), path,
+                     partition_by=("split",))
+    back = spark.read.parquet(path)
+    return canonical(back.select("noteId", "patientId", "split", label.TARGET, *SAFE_NUMERIC_COLS))
+
+
+@register("metrics_log")
+def q_metrics_log(spark, sf_dir):
+    """Evaluation metrics of the linear scorer appended to a metrics table."""
+    path = IO.scratch_dir(spark, "metrics")
+    test = test_predictions(spark, sf_dir)
+    auc = E.roc_auc(test, "probability", label.TARGET).select(F.lit("roc_auc").alias("name"),
+                                                               F.col("auc").alias("value"))
+    rep = E.class_report(test, label.TARGET, "prediction").where(F.col("class") == "weighted avg")
+    rest = rep.select(F.inline(F.array(*[F.struct(F.lit(m).alias("name"), F.col(m).alias("value"))
+                                         for m in ("precision", "recall", "f1")])))
+    rates = test.agg(F.avg(F.col(label.TARGET).cast("double")).alias("value")).select(
+        F.lit("test_positive_rate").alias("name"), "value")
+    logged = IO.append_metrics(spark, path, "run-1", auc.unionByName(rest).unionByName(rates))
+    return canonical(logged.select("run_id", "name", "value"))
+
+
+@register("stream_score")
+def q_stream_score(spark, sf_dir):
+    """The same notes scored by a Structured Streaming job (equals the batch result)."""
+    from noteflare.streaming.score_stream import start_scoring_stream
+    src = IO.scratch_dir(spark, "stream-in")
+    IO.write_note_batches(request_rows(spark, sf_dir).withColumn("_shape", _shape_col()), src)
+    _, scorer = fitted_scorer(spark, sf_dir)
+    sink, ckpt = IO.scratch_dir(spark, "stream-out"), IO.scratch_dir(spark, "stream-ckpt")
+    q = start_scoring_stream(spark, src, sink, ckpt, scorer, available_now=True, max_files_per_trigger=2)
+    q.awaitTermination()
+    return _risk_cols(spark.read.parquet(sink))

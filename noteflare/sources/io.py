@@ -19,3 +19,92 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/noteflare-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# ---------------------------------------------------------------------------
+# Note request schema (scoring input) and its three JSON batch shapes
+# ---------------------------------------------------------------------------
+REQUEST_TEXT_FIELDS = (
+    "patientSummary", "complaints", "assesment", "examination", "reviewofsystem",
+    "currentmedication", "pastHistory", "diagnoses", "procedure", "allergy",
+)
+NOTE_REQUEST_DDL = ("patientId string, noteId string, noteDate string, "
+                    + ", ".join(f"`{f}` string" for f in REQUEST_TEXT_FIELDS))
+# One JSON line is a note object, ``{"notes": [note, ...]}`` or a bare list of
+# notes (Spark reads each element of a top-level array as its own row).
+BATCH_DDL = NOTE_REQUEST_DDL + f", notes array<struct<{NOTE_REQUEST_DDL.replace(' string', ': string')}>>"
+
+
+def flatten_batch(df: DataFrame) -> DataFrame:
+    """One row per note whatever the line shape (no shuffle)."""
+    from pyspark.sql import functions as F
+
+    fields = ["patientId", "noteId", "noteDate", *REQUEST_TEXT_FIELDS]
+    single = F.array(F.struct(*[F.col(f"`{f}`").alias(f) for f in fields]))
+    one = F.when(F.col("notes").isNull(), single).otherwise(F.col("notes"))
+    return df.select(F.explode(one).alias("n")).select(*[F.col(f"n.`{f}`").alias(f) for f in fields])
+
+
+def conform_notes(df: DataFrame, text_fields=REQUEST_TEXT_FIELDS) -> DataFrame:
+    """P10: absent or NULL text fields become "" (the request defaults)."""
+    from pyspark.sql import functions as F
+
+    present = set(df.columns)
+    return df.withColumns({f: F.coalesce(F.col(f"`{f}`"), F.lit("")) if f in present else F.lit("")
+                           for f in text_fields})
+
+
+def read_note_batch_json(spark: SparkSession, path: str) -> DataFrame:
+    """S4 reader: JSON lines in any of the three shapes -> conformed note rows."""
+    return conform_notes(flatten_batch(spark.read.schema(BATCH_DDL).json(path)))
+
+
+def read_note_csv(spark: SparkSession, path: str, ddl: str = NOTE_REQUEST_DDL) -> DataFrame:
+    """S2/S3 reader: header CSV, quoted fields may span lines."""
+    return (spark.read.schema(ddl).option("header", True).option("multiLine", True)
+            .option("escape", '"').csv(path))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """S2/S8 writer (header, RFC-4180 quoting)."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """S6 writer."""
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """S5 writer: one JSON document per row (nested columns kept nested)."""
+    df.write.mode("overwrite").json(path)
+
+
+def append_metrics(spark: SparkSession, path: str, run_id: str, metrics: DataFrame) -> DataFrame:
+    """Append ``(run_id, name, value, logged_at)`` rows to a Parquet metrics table.
+
+    ``metrics`` holds ``(name, value)`` rows computed by Spark; nothing passes
+    through the driver.
+    """
+    from pyspark.sql import functions as F
+
+    rows = metrics.select(F.lit(run_id).alias("run_id"), F.col("name").cast("string"),
+                          F.col("value").cast("double"), F.current_timestamp().alias("logged_at"))
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_note_batches(notes: DataFrame, path: str, shape_col: str = "_shape") -> None:
+    """Write notes as JSON lines in the shape named by ``shape_col``
+    ('object', 'wrapped' or 'list'), e.g. to feed a scoring job or stream."""
+    from pyspark.sql import functions as F
+
+    fields = ["patientId", "noteId", "noteDate", *REQUEST_TEXT_FIELDS]
+    note = F.struct(*[F.col(f"`{f}`").cast("string").alias(f) for f in fields])
+    line = (F.when(F.col(shape_col) == "wrapped", F.to_json(F.struct(F.array(note).alias("notes"))))
+            .when(F.col(shape_col) == "list", F.to_json(F.array(note)))
+            .otherwise(F.to_json(note)))
+    notes.select(line.alias("value")).write.mode("overwrite").text(path)
