@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from noteflare.constants import (
+    EXTRACT_DROP_COLS,
     FIXTURE_SINCE,
     FLARE_CORR_FEATURES,
+    MASK_COLS,
     PSORIASIS_DX_IDS,
     SAFE_NUMERIC_COLS,
     TEXT_COLS,
@@ -572,3 +574,62 @@ def q_stream_score(spark, sf_dir):
     q = start_scoring_stream(spark, src, sink, ckpt, scorer, available_now=True, max_files_per_trigger=2)
     q.awaitTermination()
     return _risk_cols(spark.read.parquet(sink))
+
+
+# ---------------------------------------------------------------------------
+# small table operators
+# ---------------------------------------------------------------------------
+
+@register("feature_table")
+def q_feature_table(spark, sf_dir):
+    """The training feature table: tidy labels, drop extract-only
+    and label-defining columns, keep rows with a next-visit label."""
+    n = extract.tidy_columns(notes(spark, sf_dir), EXTRACT_DROP_COLS)
+    out = label.drop_leaks(label.next_visit_label(FE.add_masked_text(FE.note_features(n))))
+    keep = ["noteId", "patientId", "noteDate", *SAFE_NUMERIC_COLS, "patient_gender", label.TARGET,
+            *[c + "_clean" for c in MASK_COLS]]
+    return canonical(out.select(*keep))
+
+
+@register("flag_rates")
+def q_flag_rates(spark, sf_dir):
+    """A10: flare-signal, steroid-use and label rates overall and per split."""
+    lab = label.group_split(labelled(spark, sf_dir))
+    rates = {"flare_signal_rate": "flare_signal", "steroid_use_rate": "any_steroid_use",
+             "target_rate": label.TARGET}
+    aggs = [F.avg(F.col(c).cast("double")).alias(n) for n, c in rates.items()]
+    overall = lab.agg(*aggs).select(F.lit("all").alias("split"), *rates)
+    return canonical(overall.unionByName(lab.groupBy("split").agg(*aggs)))
+
+
+@register("notes_per_patient")
+def q_notes_per_patient(spark, sf_dir):
+    return eda.notes_per_patient(notes(spark, sf_dir, with_names=False))
+
+
+@register("row_counts")
+def q_row_counts(spark, sf_dir):
+    n = notes(spark, sf_dir, with_names=False)
+    return n.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("noteId").alias("n_notes"),
+                 F.countDistinct("patientId").alias("n_patients"))
+
+
+@register("head_notes")
+def q_head_notes(spark, sf_dir):
+    """P13 + P14: the first notes in (patient, date, id) order (a head report)."""
+    n = notes(spark, sf_dir, with_names=False).select("noteId", "patientId", "noteDate")
+    return canonical(n.orderBy(F.col("patientId"), F.col("noteDate").asc_nulls_last(), F.col("noteId")).limit(6))
+
+
+@register("sample_notes")
+def q_sample_notes(spark, sf_dir):
+    """A seeded Bernoulli sample of notes (the sampling operator itself)."""
+    return notes(spark, sf_dir, with_names=False).select("noteId", "patientId").sample(fraction=0.1, seed=42)
+
+
+@register("boolean_columns")
+def q_boolean_columns(spark, sf_dir):
+    """Keep the columns of one type (here the boolean flags)."""
+    f = features(spark, sf_dir)
+    kept = [fl.name for fl in f.schema.fields if isinstance(fl.dataType, T.BooleanType)]
+    return canonical(f.select("noteId", *kept))
