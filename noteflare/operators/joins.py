@@ -8,13 +8,21 @@ from pyspark.sql import functions as F
 from noteflare.constants import BROADCAST_MAX_ROWS
 
 
+_CHECKED: dict[tuple[str, int, int], bool] = {}
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """True when ``df`` provably holds at most ``max_rows`` rows.
 
     ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
-    so the check costs at most ``max_rows + 1`` rows of (pruned) scan.
+    so the check costs at most ``max_rows + 1`` rows of (pruned) scan.  The
+    answer is remembered per session and semantic plan, so rebuilding the
+    same dimension (every query re-derives its tables) costs no new job.
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _CHECKED:
+        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+    return _CHECKED[key]
 
 
 def dimension(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

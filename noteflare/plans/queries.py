@@ -80,8 +80,15 @@ def canonical(df: DataFrame, digits: int = 6) -> DataFrame:
 # shared stages
 # ---------------------------------------------------------------------------
 
+_TABLES: dict = {}
+
+
 def tables(spark: SparkSession, sf_dir: str):
-    return fixture_tables(spark, sf_dir)
+    """The fixture tables, built once per session (DataFrames are immutable)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = fixture_tables(spark, sf_dir)
+    return _TABLES[key]
 
 
 def notes(spark: SparkSession, sf_dir: str, with_names: bool = True) -> DataFrame:
