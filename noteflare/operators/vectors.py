@@ -53,12 +53,22 @@ def tokens(df: DataFrame, text_col: str, out_col: str = "terms", ngram_max: int
 
 
 def doc_terms(df: DataFrame, doc_col: str, text_col: str, ngram_max: int = 2,
-              keep: Iterable[str] = ()) -> DataFrame:
-    """(doc, [keep...], term, tf): raw term counts per document."""
+              keep: Iterable[str] = (), train_flag: str | None = None) -> DataFrame:
+    """(doc, [keep...], term, tf[, is_train]): raw term counts per document.
+
+    ``train_flag`` names a boolean column constant per document; it is
+    carried as an aggregate value (not a grouping key), so a later
+    ``where(is_train)`` for the vocabulary fit cannot be pushed below the
+    aggregate and both the fit and the transform reuse one tokenising shuffle.
+    """
     keep = list(keep)
-    tok = tokens(df.select(doc_col, *keep, text_col), text_col, "terms", ngram_max)
-    exploded = tok.select(doc_col, *keep, F.explode("terms").alias("term"))
-    return exploded.groupBy(doc_col, *keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    extra = [train_flag] if train_flag else []
+    tok = tokens(df.select(doc_col, *keep, *extra, text_col), text_col, "terms", ngram_max)
+    exploded = tok.select(doc_col, *keep, *extra, F.explode("terms").alias("term"))
+    aggs = [F.count(F.lit(1)).alias("tf")]
+    if train_flag:
+        aggs.append(F.max(F.col(train_flag)).alias("is_train"))
+    return exploded.groupBy(doc_col, *keep, "term").agg(*aggs)
 
 
 @dataclass(frozen=True)

@@ -95,13 +95,35 @@ def notes(spark: SparkSession, sf_dir: str, with_names: bool = True) -> DataFram
     return extract.note_base(tables(spark, sf_dir), PSORIASIS_DX_IDS, FIXTURE_SINCE, with_names=with_names)
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write ``build()`` once per session as a reliable checkpoint and reuse it.
+
+    The feature table is read by many stages (fits, scoring, reports); a
+    checkpoint in the shared checkpoint folder cuts the long extract ->
+    clean -> feature lineage, so each later job reads the table instead of
+    re-running the joins and regexes, and a lost executor costs a re-read,
+    not a recomputation.
+    """
+    from noteflare.session import cut_lineage
+
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MATERIALIZED:
+        _MATERIALIZED[key] = cut_lineage(build())
+    return _MATERIALIZED[key]
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned notes with F1-F29 (provider names are not needed downstream)."""
-    return FE.note_features(notes(spark, sf_dir, with_names=False))
+    """Cleaned notes with F1-F29, materialised (the feature table)."""
+    return materialized(spark, sf_dir, "features",
+                        lambda: FE.note_features(notes(spark, sf_dir, with_names=False)))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label.next_visit_label(features(spark, sf_dir))
+    """Feature rows with the next-visit label, materialised."""
+    return materialized(spark, sf_dir, "labelled", lambda: label.next_visit_label(features(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------
@@ -265,9 +287,9 @@ def doc_split(doc_col: str = "doc_id") -> F.Column:
 
 def doc_vocabulary(spark, sf_dir):
     docs = base_table(spark, sf_dir, "documents").select("doc_id", "text")
-    terms = V.doc_terms(docs, "doc_id", "text")
-    train = docs.where(doc_split() == "train")
-    voc = V.fit_vocabulary(terms.join(train.select("doc_id"), "doc_id", "left_semi"), train)
+    flagged = docs.withColumn("is_train", doc_split() == "train")
+    terms = V.doc_terms(flagged, "doc_id", "text", train_flag="is_train")
+    voc = V.fit_vocabulary(terms.where("is_train"), flagged.where("is_train"))
     return docs, terms, voc
 
 
@@ -285,16 +307,15 @@ def q_doc_tfidf(spark, sf_dir):
 
 def note_text(spark, sf_dir) -> DataFrame:
     """X8 over the masked text of labelled notes, with the patient split."""
-    lab = label.group_split(label.next_visit_label(FE.add_masked_text(features(spark, sf_dir))))
+    lab = label.group_split(FE.add_masked_text(labelled(spark, sf_dir)))
     return lab.withColumn("tfidf_text", X.join_fields(*TFIDF_INPUT_COLS))
 
 
 @register("note_tfidf")
 def q_note_tfidf(spark, sf_dir):
-    nt = note_text(spark, sf_dir).select("noteId", "split", "tfidf_text")
-    terms = V.doc_terms(nt, "noteId", "tfidf_text")
-    train = nt.where(F.col("split") == "train")
-    voc = V.fit_vocabulary(terms.join(train.select("noteId"), "noteId", "left_semi"), train)
+    nt = note_text(spark, sf_dir).select("noteId", (F.col("split") == "train").alias("is_train"), "tfidf_text")
+    terms = V.doc_terms(nt, "noteId", "tfidf_text", train_flag="is_train")
+    voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
     return canonical(V.tfidf(terms, voc, "noteId").select("noteId", "term", "term_index", "tfidf"))
 
 
@@ -416,13 +437,12 @@ def gbt_run(spark, sf_dir):
     from noteflare.operators import ml
     from noteflare.session import cut_lineage
 
-    nt = note_text(spark, sf_dir)
-    terms = V.doc_terms(nt.select("noteId", "tfidf_text"), "noteId", "tfidf_text")
-    train_notes = nt.where(F.col("split") == "train")
-    voc = V.fit_vocabulary(terms.join(train_notes.select("noteId"), "noteId", "left_semi"), train_notes)
-    weights = V.tfidf(terms, voc, "noteId")
+    nt = note_text(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
+    terms = V.doc_terms(nt.select("noteId", "is_train", "tfidf_text"), "noteId", "tfidf_text", train_flag="is_train")
+    voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
+    weights = V.tfidf(terms, voc, "noteId", keep=["is_train"])
     n_terms = voc.terms.count()
-    svd = ml.fit_svd(weights.join(train_notes.select("noteId"), "noteId", "left_semi"), "noteId", n_terms)
+    svd = ml.fit_svd(weights.where("is_train"), "noteId", n_terms)
     data = ml.svd_project(weights, svd, "noteId", nt.drop("tfidf_text"))
     data = label.with_class_weight(data.where(F.col("split") == "train")).unionByName(
         data.where(F.col("split") == "test").withColumn("weight", F.lit(1.0)))
