@@ -72,24 +72,27 @@ def term_rates(df: DataFrame, col: str = "assesment",
     return _unpivot(wide, list(lexicons), "lexicon", "rate")
 
 
-def words(col: Column | str, stop: Iterable[str] | None = None) -> Column:
-    """Lower-cased words (2+ chars, "'s" dropped) minus stop words, as an array."""
-    c = F.col(col) if isinstance(col, str) else col
-    stop = sorted(set(stop if stop is not None else (*english_stop_words(), *WORD_FREQ_EXTRA_STOP)))
-    toks = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD_PATTERN), 0)
-    toks = F.transform(toks, lambda w: F.regexp_replace(w, "'s$", ""))
-    stop_arr = F.array(*[F.lit(s) for s in stop])
-    return F.filter(toks, lambda w: ~F.array_contains(stop_arr, w) & (F.length(w) > 0))
-
-
 def word_freq(df: DataFrame, col: str, top: int = 200, stop: Iterable[str] | None = None) -> DataFrame:
     """Most frequent words of a text column (whole texts).
 
-    explode -> partial count per partition -> shuffle of (word, partial) ->
-    top-k.  The top-k is the report (a word cloud shows ``top`` words).
+    Lower-cased words (2+ chars, trailing "'s" dropped) minus stop words
+    (a hash-set lookup in the JVM), exploded, partially counted per
+    partition, shuffled by word, then the top ``top`` (the report shows
+    ``top`` words).
     """
-    counts = (df.select(F.explode(words(col, stop)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    from pyspark.ml.feature import StopWordsRemover
+
+    stop = sorted(set(stop if stop is not None else (*english_stop_words(), *WORD_FREQ_EXTRA_STOP)))
+    toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(WORD_PATTERN), 0)
+    toks = F.transform(toks, lambda w: F.when(w.endswith("'s"), w.substr(F.lit(1), F.length(w) - 2))
+                       .otherwise(w))
+    kept = StopWordsRemover(inputCol="_w", outputCol="_k", stopWords=stop, caseSensitive=True).transform(
+        df.select(toks.alias("_w")))
+    # explode_outer + null filter (a plain explode would make Catalyst
+    # re-evaluate the tokeniser in an inferred filter).
+    exploded = kept.select(F.explode_outer("_k").alias("word")).where(
+        F.col("word").isNotNull() & (F.length("word") > 0))
+    counts = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col("word").asc()).limit(top)
 
 

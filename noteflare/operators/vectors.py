@@ -6,14 +6,15 @@ materialised per vocabulary column.
 
 Plan shape of :func:`tfidf`:
 
-* tokens are produced per row (regex + stop-word set + bigrams, all in
-  the JVM) and exploded; the ``(doc, term)`` count is combined map-side, so
-  the shuffle carries one row per distinct term of a document;
-* the vocabulary is fitted from the same ``(doc, term)`` table restricted to
-  the training rows (Spark reuses that shuffle); its size is capped at
-  ``max_features`` by construction, so it is broadcast to the transform;
-* the L2 norm is a window over one document's terms (bounded by the
-  document's own length).
+* the raw ``(doc, text)`` rows are shuffled once by document; tokens are
+  then produced per row (regex + stop-word set + bigrams, all in the JVM),
+  exploded and counted per ``(doc, term)`` on that same partitioning;
+* the vocabulary is fitted from the ``(doc, term)`` counts of the training
+  rows (partial counts per term are combined map-side before the shuffle
+  by term); its size is capped at ``max_features`` by construction, so it
+  is broadcast to the transform;
+* the L2 norm is a window over one document's terms, again on the
+  document partitioning (no exchange).
 """
 
 from __future__ import annotations
@@ -63,8 +64,16 @@ def doc_terms(df: DataFrame, doc_col: str, text_col: str, ngram_max: int = 2,
     """
     keep = list(keep)
     extra = [train_flag] if train_flag else []
-    tok = tokens(df.select(doc_col, *keep, *extra, text_col), text_col, "terms", ngram_max)
-    exploded = tok.select(doc_col, *keep, *extra, F.explode("terms").alias("term"))
+    # One shuffle of the raw text by document (smaller than the exploded
+    # terms); the (doc, term) count and the per-document norm window then
+    # run on that partitioning without further exchanges.
+    by_doc = df.select(doc_col, *keep, *extra, text_col).repartition(doc_col)
+    tok = tokens(by_doc, text_col, "terms", ngram_max)
+    # explode_outer + null filter: a plain explode makes Catalyst infer a
+    # ``size(terms) > 0`` filter and push it below the projection, which
+    # would evaluate the regex / stop-word / n-gram work twice per row.
+    exploded = (tok.select(doc_col, *keep, *extra, F.explode_outer("terms").alias("term"))
+                .where(F.col("term").isNotNull()))
     aggs = [F.count(F.lit(1)).alias("tf")]
     if train_flag:
         aggs.append(F.max(F.col(train_flag)).alias("is_train"))
