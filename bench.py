@@ -36,6 +36,8 @@ HEADLINE = (
 
 def run(sf_dir: str, cpus: int, names=HEADLINE) -> dict:
     spark = build_local(cpus=cpus, shuffle_partitions=cpus * 2, app="noteflare-bench")
+    # Warm the JVM (class loading, codegen) on a tiny job; not part of any query.
+    spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
     for name in names:
         t0 = time.time()

@@ -31,6 +31,7 @@ from noteflare.operators import evaluate as E
 from noteflare.operators import model as M
 from noteflare.operators import scoring as S
 from noteflare.operators import vectors as V
+from noteflare.operators.joins import bounded
 from noteflare.sources import io as IO
 from noteflare.sources.fixtures import base_table, fixture_tables
 
@@ -443,10 +444,12 @@ def gbt_run(spark, sf_dir):
     weights = V.tfidf(terms, voc, "noteId", keep=["is_train"])
     n_terms = voc.terms.count()
     svd = ml.fit_svd(weights.where("is_train"), "noteId", n_terms)
+    # Balanced class weights from the narrow training labels (2 rows, bounded).
+    cw = label.class_weights(nt.where("is_train")).select(label.TARGET, F.col("weight").alias("_cw"))
     data = ml.svd_project(weights, svd, "noteId", nt.drop("tfidf_text"))
-    data = label.with_class_weight(data.where(F.col("split") == "train")).unionByName(
-        data.where(F.col("split") == "test").withColumn("weight", F.lit(1.0)))
-    data = data.withColumn("is_valid", (F.col("split") == "train") & ml.validation_flag())
+    data = data.join(bounded(cw), label.TARGET, "left").withColumns({
+        "weight": F.when(F.col("is_train"), F.col("_cw")).otherwise(F.lit(1.0)),
+        "is_valid": F.col("is_train") & ml.validation_flag()})
     data = cut_lineage(ml.assemble(data).select(
         "noteId", "patientId", "noteDate", "split", "is_valid", "weight", label.TARGET, "patient_gender",
         "features"))

@@ -64,11 +64,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
     Survives executor loss (unlike a local checkpoint) and stops long
     lineages (iterative fits) from being recomputed or re-analysed.
+    (Measured on Spark 4.1: the eager checkpoint computes its input once,
+    so no persist is needed around it.)
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
