@@ -121,13 +121,19 @@ def note_base(tables: Mapping[str, DataFrame], dx_ids: Iterable[int] = PSORIASIS
 
 
 def dedup_notes(df: DataFrame, key: str | list[str] = "noteId", order: str = "noteDate") -> DataFrame:
-    """Keep the first row per key in ``order`` (nulls last); deterministic when
-    ``order`` is total within a key, unlike a bare ``dropDuplicates``."""
-    from pyspark.sql import Window
+    """Keep the first row per key in ``order`` (nulls last).
 
+    An aggregate (``min_by`` over the whole row) rather than a ranking
+    window: it combines map-side, so a hot key is reduced before the
+    shuffle.  Deterministic when ``order`` is total within a key (ties fall
+    back to the smallest remaining row).
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    rest = [c for c in df.columns if c not in keys]
+    rank = F.struct(F.col(order).isNull().alias("_null_last"), F.col(order).alias("_o"),
+                    *[F.col(c) for c in rest if c != order])
+    row = F.min_by(F.struct(*[F.col(c) for c in rest]), rank).alias("_r")
+    return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def tidy_columns(df: DataFrame, drop: Iterable[str]) -> DataFrame:

@@ -11,24 +11,38 @@ from noteflare.operators.joins import bounded
 TARGET = "flare_label_next"
 
 
-def patient_order() -> Window:
-    """Visits of a patient in date order; undated last; ties broken by note id."""
-    return Window.partitionBy("patientId").orderBy(F.col("noteDate").asc_nulls_last(), F.col("noteId").asc())
-
-
 def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TARGET) -> DataFrame:
     """W1 + P11: label each note with the label of the patient's next note.
 
     Notes without a next note (last visit) and notes without a patient are
-    dropped.  One shuffle on ``patientId``; the window holds one patient's
-    rows, which are only the narrow label columns when the caller has
-    already projected the heavy text away.
+    dropped.  Order: visit date (undated last), then note id.
+
+    Skew-safe and exact, in two levels, so a patient with a huge share of
+    all notes is never gathered into one task:
+
+    1. a window over ``(patient, visit day)`` gives the next note inside the
+       same day;
+    2. for the last note of a day, the next note is the first note of the
+       patient's next day with notes: a window over one narrow row per
+       (patient, day) - at most the number of distinct visit days of a
+       patient, however many notes they have.
     """
-    nxt = F.lead(F.col(label), 1).over(patient_order())
-    return (df.where(F.col("patientId").isNotNull())
-            .withColumn(target, nxt)
+    base = df.where(F.col("patientId").isNotNull()).withColumn("_day", F.to_date("noteDate"))
+    in_day = Window.partitionBy("patientId", "_day").orderBy(F.col("noteDate").asc_nulls_last(),
+                                                              F.col("noteId").asc())
+    lvl1 = base.withColumn("_next_in_day", F.lead(F.col(label), 1).over(in_day)).withColumn(
+        "_is_last", F.lead(F.lit(1), 1).over(in_day).isNull())
+    days = base.groupBy("patientId", "_day").agg(
+        F.min_by(F.col(label), F.struct(F.col("noteDate"), F.col("noteId"))).alias("_first"))
+    by_day = Window.partitionBy("patientId").orderBy(F.col("_day").asc_nulls_last())
+    nxt_day = days.select("patientId", "_day", F.lead("_first", 1).over(by_day).alias("_next_day_first"))
+    # NULL days never equal in a join key, so undated notes are matched null-safely.
+    on = (lvl1["patientId"] == nxt_day["patientId"]) & lvl1["_day"].eqNullSafe(nxt_day["_day"])
+    joined = lvl1.join(nxt_day, on, "left").drop(nxt_day["patientId"]).drop(nxt_day["_day"])
+    nxt = F.when(F.col("_is_last"), F.col("_next_day_first")).otherwise(F.col("_next_in_day"))
+    return (joined.withColumn(target, nxt.cast("int"))
             .where(F.col(target).isNotNull())
-            .withColumn(target, F.col(target).cast("int")))
+            .drop("_day", "_next_in_day", "_is_last", "_next_day_first"))
 
 
 def drop_leaks(df: DataFrame, leak_cols=LEAK_COLS) -> DataFrame:

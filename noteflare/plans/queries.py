@@ -441,7 +441,8 @@ def gbt_run(spark, sf_dir):
     nt = note_text(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
     terms = V.doc_terms(nt.select("noteId", "is_train", "tfidf_text"), "noteId", "tfidf_text", train_flag="is_train")
     voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
-    weights = V.tfidf(terms, voc, "noteId", keep=["is_train"])
+    # The weights feed both the SVD fit and the projection: write them once.
+    weights = cut_lineage(V.tfidf(terms, voc, "noteId", keep=["is_train"]))
     n_terms = voc.terms.count()
     svd = ml.fit_svd(weights.where("is_train"), "noteId", n_terms)
     # Balanced class weights from the narrow training labels (2 rows, bounded).
@@ -464,6 +465,26 @@ def gbt_run(spark, sf_dir):
     return out
 
 
+@register("note_json")
+def q_note_json(spark, sf_dir):
+    """Each scored note as a nested JSON document (influences array, signals map)."""
+    ex = explained_notes(spark, sf_dir)
+    doc = F.to_json(F.struct("noteId", F.date_format("noteDate", "yyyy-MM-dd").alias("noteDate"),
+                             "flare_probability", "flare_risk_level",
+                             F.col("patient_influences").alias("key_influences"), "text_signals"))
+    return ex.select("patientId", "noteId", doc.alias("json"))
+
+
+@register("patient_json")
+def q_patient_json(spark, sf_dir):
+    """S5 + K5: one JSON header per patient (roll-up fields); the ranked notes
+    are the ``risky_notes`` rows, keyed by patient, so no patient's notes are
+    gathered into one record or task."""
+    r = S.patient_rollup(explained_notes(spark, sf_dir))
+    doc = F.to_json(F.struct("patientId", "total_notes", "final_flare_label", "final_risk_level"))
+    return r.select("patientId", doc.alias("json"))
+
+
 @register("svd_project")
 def q_svd_project(spark, sf_dir):
     r = gbt_run(spark, sf_dir)
