@@ -18,6 +18,7 @@ from noteflare.constants import (
     EXTRACT_DROP_COLS,
     FIXTURE_SINCE,
     FLARE_CORR_FEATURES,
+    LEXICON_EXTENDED,
     MASK_COLS,
     PSORIASIS_DX_IDS,
     SAFE_NUMERIC_COLS,
@@ -186,6 +187,15 @@ def q_note_features(spark, sf_dir):
     return canonical(f.select(*keep))
 
 
+@register("note_features_extended")
+def q_note_features_extended(spark, sf_dir):
+    """F1-F29 with the exploratory (extended) lexicon: the lexicon is a parameter."""
+    f = FE.note_features(notes(spark, sf_dir, with_names=False), LEXICON_EXTENDED)
+    keep = ["noteId", "patientId", "noteDate", *FE.base_feature_columns().keys(),
+            "flare_signal", "any_steroid_use", "flare_risk_score", "flare_label"]
+    return canonical(f.select(*keep))
+
+
 @register("diagnosis_codes")
 def q_top_diagnoses(spark, sf_dir):
     return eda.top_diagnoses(features(spark, sf_dir))
