@@ -159,8 +159,10 @@ TEST_FRACTION = 0.20
 TFIDF_MAX_FEATURES = 5000
 TFIDF_MIN_DF = 5
 SVD_COMPONENTS = 100
-# Largest dimension (rows) we broadcast without a shuffle join.
+# Largest dimension we broadcast without a shuffle join: rows, and bytes
+# estimated from the schema's per-field widths.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 128 * 1024 * 1024
 
 
 @functools.lru_cache(maxsize=None)

@@ -5,23 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteflare.constants import BROADCAST_MAX_ROWS
+from noteflare.constants import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
 
 _CHECKED: dict[tuple[str, int, int], bool] = {}
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` provably holds at most ``max_rows`` rows.
+def row_width(df: DataFrame) -> int:
+    """Estimated bytes per row from the schema (Spark's default field sizes,
+    as the planner uses for its own size estimates)."""
+    return max(8, int(df._jdf.schema().defaultSize()))
 
-    ``limit(max_rows + 1).count()`` stops reading once the bound is passed,
-    so the check costs at most ``max_rows + 1`` rows of (pruned) scan.  The
-    answer is remembered per session and semantic plan, so rebuilding the
-    same dimension (every query re-derives its tables) costs no new job.
+
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """True when ``df`` provably holds at most ``max_rows`` rows and, at the
+    schema's estimated row width, at most ``max_bytes``.
+
+    ``limit(n + 1).count()`` stops reading once the bound is passed, so the
+    check costs at most ``n + 1`` rows of (pruned) scan.  The answer is
+    remembered per session and semantic plan, so rebuilding the same
+    dimension (every query re-derives its tables) costs no new job.
     """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    n = min(max_rows, max_bytes // row_width(df))
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n)
     if key not in _CHECKED:
-        _CHECKED[key] = df.limit(max_rows + 1).count() <= max_rows
+        _CHECKED[key] = df.limit(n + 1).count() <= n
     return _CHECKED[key]
 
 

@@ -69,9 +69,12 @@ def fit_svd(train_weights: DataFrame, doc_col: str, n_features: int, k: int = SV
         col = v[:, j]
         if col[abs(col).argmax()] < 0:
             v[:, j] = -col
-    entries = [(int(i), int(j), float(v[i, j])) for i in range(v.shape[0]) for j in range(v.shape[1])
-               if v[i, j] != 0.0]
-    comps = spark.createDataFrame(entries, "term_index int, component int, v double")
+    import numpy as np
+    import pandas as pd
+
+    ii, jj = np.nonzero(v)
+    table = pd.DataFrame({"term_index": ii.astype("int32"), "component": jj.astype("int32"), "v": v[ii, jj]})
+    comps = spark.createDataFrame(table, "term_index int, component int, v double")  # Arrow transfer
     return SvdModel(comps, v.shape[1])
 
 
