@@ -87,7 +87,7 @@ _TABLES: dict = {}
 
 def tables(spark: SparkSession, sf_dir: str):
     """The fixture tables, built once per session (DataFrames are immutable)."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _TABLES:
         _TABLES[key] = fixture_tables(spark, sf_dir)
     return _TABLES[key]
@@ -111,7 +111,7 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     """
     from noteflare.session import cut_lineage
 
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _MATERIALIZED:
         _MATERIALIZED[key] = cut_lineage(build())
     return _MATERIALIZED[key]
@@ -442,7 +442,7 @@ _FITS: dict = {}
 
 def gbt_run(spark, sf_dir):
     """Fit once per (session, data dir): TF-IDF -> SVD -> assemble -> GBT -> Platt."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key in _FITS:
         return _FITS[key]
     from noteflare.operators import ml
