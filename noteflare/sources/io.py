@@ -59,10 +59,22 @@ def read_note_batch_json(spark: SparkSession, path: str) -> DataFrame:
     return conform_notes(flatten_batch(spark.read.schema(BATCH_DDL).json(path)))
 
 
-def read_note_csv(spark: SparkSession, path: str, ddl: str = NOTE_REQUEST_DDL) -> DataFrame:
-    """S2/S3 reader: header CSV, quoted fields may span lines."""
-    return (spark.read.schema(ddl).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+def read_note_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S2/S3 reader: header CSV, quoted fields may span lines.
+
+    Columns are matched by header *name* (a user schema would bind them by
+    position), read as text, and conformed to the request layout: absent
+    id/date fields are NULL, absent text fields "" (P10).
+    """
+    from pyspark.sql import functions as F
+
+    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+           .option("inferSchema", False).csv(path))
+    present = set(raw.columns)
+    fields = ["patientId", "noteId", "noteDate", *REQUEST_TEXT_FIELDS]
+    cols = [F.col(f"`{f}`").cast("string").alias(f) if f in present else F.lit(None).cast("string").alias(f)
+            for f in fields]
+    return conform_notes(raw.select(*cols))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
