@@ -32,17 +32,29 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def entity_pattern(entity: str) -> str:
+    """``&name;`` also matches without its ';' when no name character follows
+    (``&amp `` decodes, ``&ampx`` and ``&amp.`` do not), as HTML parsers read
+    legacy references."""
+    name = entity.strip("&;")
+    follow = "[0-9]" if name.startswith("#") else "[-.a-zA-Z0-9]"
+    return f"&{name}(?:;|(?!{follow}))"
+
+
 def clean_html(c: ColumnOrName, entities: Iterable[tuple[str, str]] = HTML_ENTITIES) -> Column:
     """Strip tags (each replaced by a space), decode entities, collapse whitespace, trim.
 
     NULL becomes "".  Only the listed entities are decoded; others stay as is.
-    A '<' that does not open a tag (``BSA < 5%``) is kept.
+    A '<' that does not open a tag (``BSA < 5%``) is kept.  Entity passes
+    run only on text that contains '&'.
     """
     out = F.coalesce(_col(c).cast("string"), F.lit(""))
     for pattern in _HTML_BLOCKS:
         out = F.regexp_replace(out, pattern, " ")
+    decoded = out
     for entity, char in entities:
-        out = F.replace(out, F.lit(entity), F.lit(char))
+        decoded = F.regexp_replace(decoded, entity_pattern(entity), char)
+    out = F.when(out.contains("&"), decoded).otherwise(out)
     return F.trim(F.regexp_replace(out, _WS, " "))
 
 
