@@ -41,8 +41,7 @@ class SvdModel:
     k: int
 
 
-def fit_svd(train_weights: DataFrame, doc_col: str, n_features: int, k: int = SVD_COMPONENTS,
-            seed: int = SPLIT_SEED) -> SvdModel:
+def fit_svd(train_weights: DataFrame, doc_col: str, n_features: int, k: int = SVD_COMPONENTS) -> SvdModel:
     """Fit V5 on long-form training weights ``(doc, term_index, tfidf)``.
 
     ``k`` is capped at the number of features.  The per-document sparse rows

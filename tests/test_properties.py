@@ -56,3 +56,25 @@ def test_grouped_auc_matches_brute_force(spark):
     got = {r["g"]: r["auc"] for r in E.roc_auc(df, "score", "y", ["g"], n_buckets=5).collect()}
     for g in "ab":
         assert abs(got[g] - _brute_auc([(s, y) for gg, s, y in rows if gg == g])) < 1e-12
+
+
+def test_tfidf_vectors_equal_long_form(spark):
+    """V4 as ML vectors (no shuffle) equals the long-form weights, document by document."""
+    from noteflare.operators import vectors as V
+    from noteflare.sources.fixtures import base_table
+
+    docs = base_table(spark, SF, "documents").select("doc_id", "text")
+    flagged = docs.withColumn("is_train", F.col("doc_id") % 5 != 0)
+    terms = V.doc_terms(flagged, "doc_id", "text", train_flag="is_train")
+    voc = V.fit_vocabulary(terms.where("is_train"), flagged.where("is_train"), max_features=300, min_df=2)
+    long = {}
+    for r in V.tfidf(terms, voc, "doc_id").collect():
+        long.setdefault(r["doc_id"], {})[r["term_index"]] = r["tfidf"]
+    vec = V.tfidf_vectors(V.tokens(docs, "text"), voc).select("doc_id", "text_vec").collect()
+    assert len(vec) == docs.count()
+    for r in vec:
+        v = r["text_vec"]
+        got = {int(i): float(x) for i, x in zip(v.indices, v.values)}
+        want = long.get(r["doc_id"], {})
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
