@@ -17,20 +17,32 @@ def row_width(df: DataFrame) -> int:
     return max(8, int(df._jdf.schema().defaultSize()))
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of ``df`` (no job; file sizes scaled by projection)."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size if isinstance(size, int) else size.toString())
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+                   max_bytes: int = BROADCAST_MAX_BYTES, estimate_slack: int = 16) -> bool:
     """True when ``df`` provably holds at most ``max_rows`` rows and, at the
     schema's estimated row width, at most ``max_bytes``.
 
-    ``limit(n + 1).count()`` stops reading once the bound is passed, so the
-    check costs at most ``n + 1`` rows of (pruned) scan.  The answer is
-    remembered per session and semantic plan, so rebuilding the same
-    dimension (every query re-derives its tables) costs no new job.
+    Two steps: a frame whose planner estimate is far above the byte bound
+    (``estimate_slack`` times; compressed files can understate memory) is
+    rejected without running anything, since counting a huge fact table
+    would itself scan it.  Otherwise ``limit(n + 1).count()`` proves the
+    bound exactly.  The answer is remembered per session and semantic plan,
+    so rebuilding the same dimension (every query re-derives its tables)
+    costs no new job.
     """
     n = min(max_rows, max_bytes // row_width(df))
     key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n)
     if key not in _CHECKED:
-        _CHECKED[key] = df.limit(n + 1).count() <= n
+        if estimated_bytes(df) > estimate_slack * max_bytes:
+            _CHECKED[key] = False
+        else:
+            _CHECKED[key] = df.limit(n + 1).count() <= n
     return _CHECKED[key]
 
 
