@@ -11,11 +11,14 @@ from noteflare.operators.joins import bounded
 TARGET = "flare_label_next"
 
 
-def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TARGET) -> DataFrame:
+def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TARGET,
+                     keep_unlabelled: bool = False) -> DataFrame:
     """W1 + P11: label each note with the label of the patient's next note.
 
     Notes without a next note (last visit) and notes without a patient are
-    dropped.  Order: visit date (undated last), then note id.
+    dropped, or kept with a NULL label when ``keep_unlabelled`` (one table
+    then serves both as the feature table and, filtered, as the labelled
+    set).  Order: visit date (undated last), then note id.
 
     Skew-safe and exact, in two levels, so a patient with a huge share of
     all notes is never gathered into one task:
@@ -40,9 +43,13 @@ def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TA
     on = (lvl1["patientId"] == nxt_day["patientId"]) & lvl1["_day"].eqNullSafe(nxt_day["_day"])
     joined = lvl1.join(nxt_day, on, "left").drop(nxt_day["patientId"]).drop(nxt_day["_day"])
     nxt = F.when(F.col("_is_last"), F.col("_next_day_first")).otherwise(F.col("_next_in_day"))
-    return (joined.withColumn(target, nxt.cast("int"))
-            .where(F.col(target).isNotNull())
-            .drop("_day", "_next_in_day", "_is_last", "_next_day_first"))
+    out = (joined.withColumn(target, nxt.cast("int"))
+           .drop("_day", "_next_in_day", "_is_last", "_next_day_first"))
+    if not keep_unlabelled:
+        return out.where(F.col(target).isNotNull())
+    # Notes without a patient bypass the window (no NULL-key hot partition).
+    orphans = df.where(F.col("patientId").isNull()).withColumn(target, F.lit(None).cast("int"))
+    return out.unionByName(orphans)
 
 
 def drop_leaks(df: DataFrame, leak_cols=LEAK_COLS) -> DataFrame:

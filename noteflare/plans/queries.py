@@ -117,15 +117,22 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return _MATERIALIZED[key]
 
 
+def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned notes with F1-F29 and the next-visit label (NULL for a
+    patient's last note), written once per session: the one wide table that
+    the scoring, reporting and training stages all read."""
+    return materialized(spark, sf_dir, "feature_table", lambda: label.next_visit_label(
+        FE.note_features(notes(spark, sf_dir, with_names=False)), keep_unlabelled=True))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned notes with F1-F29, materialised (the feature table)."""
-    return materialized(spark, sf_dir, "features",
-                        lambda: FE.note_features(notes(spark, sf_dir, with_names=False)))
+    """Every extracted note with F1-F29."""
+    return feature_table(spark, sf_dir).drop(label.TARGET)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows with the next-visit label, materialised."""
-    return materialized(spark, sf_dir, "labelled", lambda: label.next_visit_label(features(spark, sf_dir)))
+    """Notes that have a next visit, with its label."""
+    return feature_table(spark, sf_dir).where(F.col(label.TARGET).isNotNull())
 
 
 # ---------------------------------------------------------------------------
