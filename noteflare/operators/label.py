@@ -11,14 +11,28 @@ from noteflare.operators.joins import bounded
 TARGET = "flare_label_next"
 
 
+def next_visit_labels(df: DataFrame, label: str = "flare_label", target: str = TARGET,
+                      key: str | list[str] = "noteId") -> DataFrame:
+    """Narrow ``(key, target)`` rows of the notes that have a next visit (see
+    :func:`next_visit_label`)."""
+    return _labels(df, label, target, key)
+
+
 def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TARGET,
-                     keep_unlabelled: bool = False) -> DataFrame:
+                     keep_unlabelled: bool = False, key: str | list[str] = "noteId") -> DataFrame:
     """W1 + P11: label each note with the label of the patient's next note.
 
     Notes without a next note (last visit) and notes without a patient are
     dropped, or kept with a NULL label when ``keep_unlabelled`` (one table
     then serves both as the feature table and, filtered, as the labelled
-    set).  Order: visit date (undated last), then note id.
+    set).  Order: visit date (undated last), then the row key.  ``key`` (a
+    column or list of columns) must identify a row.
+
+    The label is computed on four narrow columns and joined back on the
+    note key, so the wide rows (note text, features) are not moved by the
+    windows; when the wide frame is already hash-partitioned by the key only
+    the narrow side is shuffled.  Pass a materialised ``df`` (the label
+    branch and the join both read it).
 
     Skew-safe and exact, in two levels, so a patient with a huge share of
     all notes is never gathered into one task:
@@ -30,26 +44,34 @@ def next_visit_label(df: DataFrame, label: str = "flare_label", target: str = TA
        (patient, day) - at most the number of distinct visit days of a
        patient, however many notes they have.
     """
-    base = df.where(F.col("patientId").isNotNull()).withColumn("_day", F.to_date("noteDate"))
+    keys = [key] if isinstance(key, str) else list(key)
+    labels = _labels(df, label, target, keys)
+    if keep_unlabelled:
+        # Last visits and notes without a patient keep a NULL label.
+        return df.join(labels, keys, "left")
+    return df.join(labels, keys, "inner")
+
+
+def _labels(df: DataFrame, label: str, target: str, key: str | list[str]) -> DataFrame:
+    keys = [key] if isinstance(key, str) else list(key)
+    order_keys = [k for k in keys if k != "patientId"]
+    narrow = list(dict.fromkeys([*keys, "patientId", "noteDate", label]))
+    base = (df.select(*narrow).where(F.col("patientId").isNotNull())
+            .withColumn("_day", F.to_date("noteDate")))
     in_day = Window.partitionBy("patientId", "_day").orderBy(F.col("noteDate").asc_nulls_last(),
-                                                              F.col("noteId").asc())
+                                                              *[F.col(k).asc() for k in order_keys])
     lvl1 = base.withColumn("_next_in_day", F.lead(F.col(label), 1).over(in_day)).withColumn(
         "_is_last", F.lead(F.lit(1), 1).over(in_day).isNull())
     days = base.groupBy("patientId", "_day").agg(
-        F.min_by(F.col(label), F.struct(F.col("noteDate"), F.col("noteId"))).alias("_first"))
+        F.min_by(F.col(label), F.struct(F.col("noteDate"), *[F.col(k) for k in order_keys])).alias("_first"))
     by_day = Window.partitionBy("patientId").orderBy(F.col("_day").asc_nulls_last())
     nxt_day = days.select("patientId", "_day", F.lead("_first", 1).over(by_day).alias("_next_day_first"))
     # NULL days never equal in a join key, so undated notes are matched null-safely.
     on = (lvl1["patientId"] == nxt_day["patientId"]) & lvl1["_day"].eqNullSafe(nxt_day["_day"])
-    joined = lvl1.join(nxt_day, on, "left").drop(nxt_day["patientId"]).drop(nxt_day["_day"])
+    joined = lvl1.join(nxt_day, on, "left")
     nxt = F.when(F.col("_is_last"), F.col("_next_day_first")).otherwise(F.col("_next_in_day"))
-    out = (joined.withColumn(target, nxt.cast("int"))
-           .drop("_day", "_next_in_day", "_is_last", "_next_day_first"))
-    if not keep_unlabelled:
-        return out.where(F.col(target).isNotNull())
-    # Notes without a patient bypass the window (no NULL-key hot partition).
-    orphans = df.where(F.col("patientId").isNull()).withColumn(target, F.lit(None).cast("int"))
-    return out.unionByName(orphans)
+    return (joined.select(*[lvl1[k].alias(k) for k in keys], nxt.cast("int").alias(target))
+            .where(F.col(target).isNotNull()))
 
 
 def drop_leaks(df: DataFrame, leak_cols=LEAK_COLS) -> DataFrame:

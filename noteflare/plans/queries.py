@@ -117,22 +117,23 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return _MATERIALIZED[key]
 
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned notes with F1-F29 and the next-visit label (NULL for a
-    patient's last note), written once per session: the one wide table that
-    the scoring, reporting and training stages all read."""
-    return materialized(spark, sf_dir, "feature_table", lambda: label.next_visit_label(
-        FE.note_features(notes(spark, sf_dir, with_names=False)), keep_unlabelled=True))
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every extracted note with F1-F29: the wide feature table, written once
+    per session and read by the scoring, reporting and training stages."""
+    return materialized(spark, sf_dir, "features",
+                        lambda: FE.note_features(notes(spark, sf_dir, with_names=False)))
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every extracted note with F1-F29."""
-    return feature_table(spark, sf_dir).drop(label.TARGET)
+def next_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrow (noteId, next-visit label) table computed from the feature
+    table, written once; the windows move only these narrow rows."""
+    return materialized(spark, sf_dir, "next_labels", lambda: label.next_visit_labels(features(spark, sf_dir)))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes that have a next visit, with its label."""
-    return feature_table(spark, sf_dir).where(F.col(label.TARGET).isNotNull())
+    """Notes that have a next visit, with its label (W1, P11): the feature
+    table joined to the narrow label table on the note key."""
+    return features(spark, sf_dir).join(next_labels(spark, sf_dir), "noteId", "inner")
 
 
 # ---------------------------------------------------------------------------

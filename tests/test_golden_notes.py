@@ -96,7 +96,9 @@ def test_golden_column(golden_rows, column):
 
 def test_next_visit_label(spark):
     df = note_features(_notes(spark, [NOTE_A, NOTE_B1, NOTE_B2]))
-    out = {(r["patientId"], r["noteId"]): r["flare_label_next"] for r in next_visit_label(df).collect()}
+    # The sample notes come from separate requests and reuse note ids: key by (patient, note).
+    labelled = next_visit_label(df, key=["patientId", "noteId"])
+    out = {(r["patientId"], r["noteId"]): r["flare_label_next"] for r in labelled.collect()}
     assert out == {("TEST002", "NOTE001"): 1}
 
 
