@@ -654,7 +654,8 @@ def q_feature_table(spark, sf_dir):
     """The training feature table: tidy labels, drop extract-only
     and label-defining columns, keep rows with a next-visit label."""
     n = extract.tidy_columns(notes(spark, sf_dir), EXTRACT_DROP_COLS)
-    out = label.drop_leaks(label.next_visit_label(FE.add_masked_text(FE.note_features(n))))
+    feats = FE.add_masked_text(FE.note_features(n))
+    out = label.drop_leaks(feats.join(next_labels(spark, sf_dir), "noteId", "inner"))
     keep = ["noteId", "patientId", "noteDate", *SAFE_NUMERIC_COLS, "patient_gender", label.TARGET,
             *[c + "_clean" for c in MASK_COLS]]
     return canonical(out.select(*keep))
