@@ -459,6 +459,8 @@ def gbt_run(spark, sf_dir):
     nt = note_text(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
     terms = V.doc_terms(nt.select("noteId", "is_train", "tfidf_text"), "noteId", "tfidf_text", train_flag="is_train")
     voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
+    # The vocabulary (<= max_features rows) is read three times: write it once.
+    voc = V.Vocabulary(cut_lineage(voc.terms), voc.n_docs)
     # The weights feed both the SVD fit and the projection: write them once.
     weights = cut_lineage(V.tfidf(terms, voc, "noteId", keep=["is_train"]))
     n_terms = voc.terms.count()
