@@ -349,11 +349,18 @@ def q_scale_numeric(spark, sf_dir):
 # linear scorer (M3), evaluation (E1-E5), scoring
 # ---------------------------------------------------------------------------
 
+_SCORERS: dict = {}
+
+
 def fitted_scorer(spark, sf_dir):
-    """Labelled notes with split and the scorer fitted on the train side."""
+    """Labelled notes with split and the scorer fitted on the train side
+    (fitted once per session: the model is a handful of parameters)."""
     lab = label.group_split(labelled(spark, sf_dir))
-    scorer = M.fit_linear_scorer(lab.where(F.col("split") == "train"), label.TARGET, SAFE_NUMERIC_COLS)
-    return lab, scorer
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _SCORERS:
+        _SCORERS[key] = M.fit_linear_scorer(lab.where(F.col("split") == "train"), label.TARGET,
+                                            SAFE_NUMERIC_COLS)
+    return lab, _SCORERS[key]
 
 
 def test_predictions(spark, sf_dir) -> DataFrame:
