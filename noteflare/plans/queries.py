@@ -318,6 +318,15 @@ def q_doc_vocab(spark, sf_dir):
     return canonical(voc.terms)
 
 
+@register("doc_vocab_wide")
+def q_doc_vocab_wide(spark, sf_dir):
+    """V3 with the exploratory setting (10,000 terms): the vocabulary size is a parameter."""
+    docs = base_table(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = docs.withColumn("is_train", doc_split() == "train")
+    terms = V.doc_terms(flagged, "doc_id", "text", train_flag="is_train")
+    return canonical(V.fit_vocabulary(terms.where("is_train"), flagged.where("is_train"), max_features=10000).terms)
+
+
 @register("doc_tfidf")
 def q_doc_tfidf(spark, sf_dir):
     _, terms, voc = doc_vocabulary(spark, sf_dir)
