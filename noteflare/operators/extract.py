@@ -76,14 +76,19 @@ def diagnoses_per_note(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def _names(tables: Mapping[str, DataFrame], notes: DataFrame) -> DataFrame:
-    """Four role-playing left joins to providers."""
+    """Four role-playing left joins to providers.
+
+    The same (size-checked) provider frame is joined under four aliases,
+    so the four joins share one broadcast (a reused exchange) instead of
+    shipping the table four times.
+    """
     prov = tables["providers"].select("providerId", person_name("firstName", "lastName").alias("_name"))
-    small = fits_broadcast(prov)
+    side = F.broadcast(prov) if fits_broadcast(prov) else prov
     out = notes
     for key, name in PROVIDER_ROLES:
-        side = prov.select(F.col("providerId").alias(f"_{key}_id"), F.col("_name").alias(name))
-        side = F.broadcast(side) if small else side
-        out = out.join(side, out[key] == side[f"_{key}_id"], "left").drop(f"_{key}_id")
+        role = side.alias(f"_p_{key}")
+        joined = out.join(role, out[key] == F.col(f"_p_{key}.providerId"), "left")
+        out = joined.select(*[out[c] for c in out.columns], F.col(f"_p_{key}._name").alias(name))
     return out
 
 
