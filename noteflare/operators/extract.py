@@ -10,7 +10,9 @@ Plan shape (all lazy, one Catalyst plan):
   with many (or duplicate) assessment rows never fans the note out and a
   hot note is reduced before the shuffle;
 * dimensions (providers x4 roles, place of service, diagnosis, codes) are
-  broadcast only after a row-count check, else shuffle-joined.
+  broadcast only after a size check (planner estimate, then an exact row
+  count within a row and byte bound), else shuffle-joined; the provider
+  frame is broadcast once and reused by its four role joins.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ Plan shape of :func:`tfidf`:
 * the vocabulary is fitted from the ``(doc, term)`` counts of the training
   rows (partial counts per term are combined map-side before the shuffle
   by term); its size is capped at ``max_features`` by construction, so it
-  is broadcast to the transform;
+  is broadcast to the transform.  The fit branch tokenises the training
+  documents a second time (its plan differs from the transform's, so
+  Spark does not reuse that exchange); that costs less than writing the
+  ``(doc, term)`` table, which is larger than the text;
 * the L2 norm is a window over one document's terms, again on the
   document partitioning (no exchange).
 """
