@@ -50,3 +50,21 @@ def test_flag_matches_python(docs):
     bad = [r["doc_id"] for r in docs
            if r["hit"] != bool(re.search("flare|itch|red", r["text"] or "", flags=re.I))]
     assert not bad
+
+
+WORDS = ["flare", "flares", "flaring", "flare-up", "flare up", "psoriasis flare", "Psoriasis", "FLARE",
+         "apply", "Apply", "use", "start", "started", "start ", "triamcinolone", "clobetasol", "ointment",
+         "cream", "gel", "bigel", "prescribed", "prescription", "hydrocortisone", "skin", "daily", "used"]
+SEPS = [" ", "  ", ", ", ". ", "-", "\t", "\n", "", "; "]
+
+
+def test_mask_random_sentences_match_python(spark):
+    import random
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(WORDS) + rnd.choice(SEPS) for _ in range(rnd.randint(0, 12)))
+             for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["m"] for r in df.select("i", mask_terms("t").alias("m")).collect()}
+    bad = [i for i, t in enumerate(texts) if got[i] != py_mask(t)]
+    assert not bad, [(texts[i], got[i], py_mask(texts[i])) for i in bad[:3]]
