@@ -68,3 +68,29 @@ def test_mask_random_sentences_match_python(spark):
     got = {r["i"]: r["m"] for r in df.select("i", mask_terms("t").alias("m")).collect()}
     bad = [i for i, t in enumerate(texts) if got[i] != py_mask(t)]
     assert not bad, [(texts[i], got[i], py_mask(texts[i])) for i in bad[:3]]
+
+
+def test_feature_flags_random_sentences_match_python(spark):
+    """X3 (lower-cased substring) and X4 (case-insensitive regex) on random text."""
+    import random
+
+    from noteflare.constants import LEXICON_EXTENDED
+    from noteflare.functions.text import flag_any
+
+    vocab = ["Itching", "red", "bothered", "Non-smoker", "smoker", "no known", "No Known", "alcohol: yes",
+             "melanoma", "yes", "no active", "Adalimumab", "HUMIRA", "clobetasol", "worse", "flare-up",
+             "without relief", "no improvement", "dry skin", "elbow", "silvery", "scale", "plaque", "ÉRYTHÈME"]
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 8))) for _ in range(300)]
+    texts.append(None)
+    terms = LEXICON_EXTENDED["complaint_flare_terms"]
+    patterns = [LEXICON_EXTENDED["biologic_pattern"], "alcohol.*yes", "melanoma.*yes", "no known",
+                LEXICON_EXTENDED["no_medication_pattern"], "silvery|scale", "without relief|no improvement"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    out = df.select("i", flag_any("t", terms).alias("f"),
+                    *[matches("t", p).alias(f"m{k}") for k, p in enumerate(patterns)]).collect()
+    for r in out:
+        t = texts[r["i"]] or ""
+        assert r["f"] == int(any(x in t.lower() for x in terms)), t
+        for k, p in enumerate(patterns):
+            assert r[f"m{k}"] == bool(re.search(p, t, flags=re.I)), (t, p)
