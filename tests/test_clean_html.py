@@ -61,3 +61,39 @@ def test_lone_angle_bracket_and_entities(spark):
     rows = [("BSA < 5%, <b>itch</b> &amp; dry&nbsp;skin",), (None,), ("<p>a</p><p>b</p>",)]
     df = spark.createDataFrame(rows, "h string").select(clean_html("h").alias("t"))
     assert [r["t"] for r in df.collect()] == ["BSA < 5%, itch & dry skin", "", "a b"]
+
+
+def _random_html(rnd):
+    words = ["Itch", "BSA < 5%", "a&amp;b", "x &amp y", "&lt;tag&gt;", "&quot;q&quot;", "it&#39;s", "&copy;",
+             "&middot;", "&nbsp;", "&unknown;", "plain", "Élan", " ", "\n", "  "]
+    parts = []
+    for _ in range(rnd.randint(0, 10)):
+        k = rnd.random()
+        if k < 0.35:
+            parts.append(rnd.choice(words))
+        elif k < 0.55:
+            tag = rnd.choice(["p", "b", "div", "span", "td", "br"])
+            attr = rnd.choice(["", ' class="c"', " id=x", ' data-v="1 2"'])
+            parts.append(f"<{tag}{attr}>{rnd.choice(words)}</{tag}>")
+        elif k < 0.65:
+            parts.append(f"<!-- {rnd.choice(words)} -->")
+        elif k < 0.75:
+            parts.append(f"<script type=\"t\">var a = '{rnd.choice(words)}';</script>")
+        elif k < 0.82:
+            parts.append(f"<style>.c{{color:red}} {rnd.choice(words)}</style>")
+        elif k < 0.9:
+            parts.append("<!DOCTYPE html>")
+        else:
+            parts.append(f"<br/>{rnd.choice(words)}<hr>")
+    return "".join(parts)
+
+
+def test_random_fragments_match_the_parser(spark):
+    import random
+
+    rnd = random.Random(3)
+    docs = [_random_html(rnd) for _ in range(500)]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, h string")
+    got = {r["i"]: r["t"] for r in df.select("i", clean_html("h").alias("t")).collect()}
+    bad = [i for i, d in enumerate(docs) if got[i] != reference_text(d)]
+    assert not bad, [(docs[i], got[i], reference_text(docs[i])) for i in bad[:3]]
