@@ -1,7 +1,8 @@
 """Spark ML path.
 
-* V5 truncated SVD: ``RowMatrix.computeSVD`` (distributed Gram-vector
-  products once the vocabulary is large) on the training TF-IDF rows; the
+* V5 truncated SVD: ``computeSVD`` of an ``IndexedRowMatrix`` built on the
+  JVM side from the training TF-IDF vectors (distributed Gram-vector
+  products once the vocabulary is large); the
   right singular vectors ``V`` (vocabulary x k, bounded by the vocabulary
   cap, not by the data) are kept in long form and the projection ``X V`` is
   a broadcast join on the term index plus a per-document sum, with no
@@ -41,28 +42,27 @@ class SvdModel:
     k: int
 
 
-def fit_svd(train_weights: DataFrame, doc_col: str, n_features: int, k: int = SVD_COMPONENTS) -> SvdModel:
-    """Fit V5 on long-form training weights ``(doc, term_index, tfidf)``.
+def fit_svd(train_vectors: DataFrame, n_features: int, vec_col: str = "text_vec",
+            k: int = SVD_COMPONENTS) -> SvdModel:
+    """Fit V5 on the training TF-IDF vectors (``vec_col``, Spark ML sparse vectors).
 
-    ``k`` is capped at the number of features.  The per-document sparse rows
-    are grouped by document (a group is one document's terms).
+    The vectors go to ``IndexedRowMatrix`` on the JVM side (no row passes
+    through Python); ``computeSVD`` then runs distributed Gram-vector
+    products, or a local solve for a small vocabulary.  Pass a materialised
+    frame: a large vocabulary makes several passes over it.  ``k`` is capped
+    at the number of features.
     """
-    from pyspark.mllib.linalg import Vectors as MLLibVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.common import callMLlibFunc
+    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+    from pyspark.mllib.util import MLUtils
 
-    spark = train_weights.sparkSession
+    spark = train_vectors.sparkSession
     k = max(1, min(k, n_features))
-    rows = (train_weights.groupBy(doc_col)
-            .agg(F.collect_list(F.struct(F.col("term_index").cast("int").alias("i"),
-                                         F.col("tfidf").cast("double").alias("v"))).alias("e")))
-    rdd = rows.rdd.map(lambda r: MLLibVectors.sparse(
-        n_features, sorted((e["i"], e["v"]) for e in r["e"])))
-    rdd = rdd.persist()
-    try:
-        svd = RowMatrix(rdd, numCols=n_features).computeSVD(k, computeU=False)
-        v = svd.V.toArray().copy()  # n_features x k: bounded by the vocabulary cap
-    finally:
-        rdd.unpersist()
+    rows = MLUtils.convertVectorColumnsFromML(
+        train_vectors.select(F.monotonically_increasing_id().alias("index"), F.col(vec_col).alias("vector")),
+        "vector")
+    matrix = IndexedRowMatrix(callMLlibFunc("createIndexedRowMatrix", rows, 0, int(n_features)))
+    v = matrix.computeSVD(k, computeU=False).V.toArray().copy()  # n_features x k: bounded by the vocabulary
     # Fix the sign of each component (largest |entry| positive) so results are stable.
     for j in range(v.shape[1]):
         col = v[:, j]

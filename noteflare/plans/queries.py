@@ -480,7 +480,10 @@ def gbt_run(spark, sf_dir):
     # The weights feed both the SVD fit and the projection: write them once.
     weights = cut_lineage(V.tfidf(terms, voc, "noteId", keep=["is_train"]))
     n_terms = voc.terms.count()
-    svd = ml.fit_svd(weights.where("is_train"), "noteId", n_terms)
+    # Training vectors built in the JVM from each note's own tokens (no shuffle), written once.
+    train_vecs = cut_lineage(V.tfidf_vectors(V.tokens(nt.where("is_train").select("noteId", "tfidf_text"),
+                                                      "tfidf_text"), voc).select("noteId", "text_vec"))
+    svd = ml.fit_svd(train_vecs, n_terms)
     # Balanced class weights from the narrow training labels (2 rows, bounded).
     cw = label.class_weights(nt.where("is_train")).select(label.TARGET, F.col("weight").alias("_cw"))
     data = ml.svd_project(weights, svd, "noteId", nt.drop("tfidf_text"))
