@@ -64,3 +64,18 @@ def test_influences_rename_dedup_and_filter(spark):
                                                   "↑ flare risk up"]
     assert [s["feature"] for s in row["shown"]] == ["itch_present", "dry_skin"]
     assert row["ts"] == {}
+
+
+def test_contract_check_quarantines_bad_rows(spark):
+    from noteflare.operators.scoring import contract_check
+
+    rows = [("p1", 0.4, 0), ("", 0.5, 1), (None, 0.2, 0), ("p4", 1.5, 1), ("p5", None, 1), ("p6", 0.7, 2)]
+    df = spark.createDataFrame(rows, "patientId string, flare_probability double, flare_label int")
+    valid, bad = contract_check(df)
+    assert [r["patientId"] for r in valid.collect()] == ["p1"]
+    got = {(r["patientId"], r["flare_probability"]): r["violations"] for r in bad.collect()}
+    assert got[("", 0.5)] == ["patientId empty"]
+    assert got[(None, 0.2)] == ["patientId empty"]
+    assert got[("p4", 1.5)] == ["probability out of [0,1]"]
+    assert got[("p5", None)] == ["probability out of [0,1]"]
+    assert got[("p6", 0.7)] == ["label not in {0,1}"]
