@@ -2,18 +2,11 @@
 
 Everything under a "FIXED VALUES" banner must stay equal to the clinical
 rules the library reproduces (term lists, regexes, band edges).  They are
-written out plainly, in their natural order.  Larger tables (stop words)
-are not spelled out here: they come from the word list that ships inside
-Spark ML, so the same list is available to Spark and to the oracle.
+written out plainly, in their natural order.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # ---------------------------------------------------------------------------
 # FIXED VALUES: cohort selection
 # ---------------------------------------------------------------------------
@@ -164,17 +157,23 @@ SVD_COMPONENTS = 100
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 128 * 1024 * 1024
 
-
-@functools.lru_cache(maxsize=None)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's English stop-word list, read from the MLlib jar.
-
-    Reading the jar directly (instead of ``StopWordsRemover``) keeps the list
-    available without a JVM, so the oracle SQL can embed the same words.
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-    return tuple(words)
+# ---------------------------------------------------------------------------
+# FIXED VALUES: Spark ML's public English stop-word list, in its own order
+# ---------------------------------------------------------------------------
+ENGLISH_STOP_WORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves",
+    "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them",
+    "their", "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then", "once", "here",
+    "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will",
+    "just", "don", "should", "now", "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd",
+    "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've",
+    "we've", "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't",
+    "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't", "couldn't", "cannot",
+    "could", "here's", "how's", "let's", "ought", "that's", "there's", "what's", "when's", "where's", "who's",
+    "why's", "would",
+)

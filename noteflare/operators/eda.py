@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteflare.constants import TERM_RATE_LEXICONS, WORD_FREQ_EXTRA_STOP, english_stop_words
+from noteflare.constants import TERM_RATE_LEXICONS, WORD_FREQ_EXTRA_STOP, ENGLISH_STOP_WORDS
 from noteflare.functions.text import month_start
 
 WORD_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
@@ -82,7 +82,7 @@ def word_freq(df: DataFrame, col: str, top: int = 200, stop: Iterable[str] | Non
     """
     from pyspark.ml.feature import StopWordsRemover
 
-    stop = sorted(set(stop if stop is not None else (*english_stop_words(), *WORD_FREQ_EXTRA_STOP)))
+    stop = sorted(set(stop if stop is not None else (*ENGLISH_STOP_WORDS, *WORD_FREQ_EXTRA_STOP)))
     toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(WORD_PATTERN), 0)
     toks = F.transform(toks, lambda w: F.when(w.endswith("'s"), w.substr(F.lit(1), F.length(w) - 2))
                        .otherwise(w))

@@ -106,15 +106,20 @@ def note_base(tables: Mapping[str, DataFrame], dx_ids: Iterable[int] = PSORIASIS
     """One row per signed cohort note since ``since``.
 
     ``with_names=False`` skips the four provider joins (the training path
-    drops the names right away).  ``patient_id`` restricts to one patient
-    (P4): the filter reaches the notes scan before any join.
+    drops the names right away).  ``patient_id`` looks up one patient (P4),
+    in the cohort or not: the filter reaches the notes scan before any join.
+    Assessments and note bodies are cut to the selected notes by a semi join
+    before they are grouped or joined.
     """
     notes = signed_notes(tables, since).withColumnRenamed("placeOfService", "_pos_code")
     if patient_id is not None:
         notes = notes.where(F.col("patientId") == F.lit(patient_id))
-    notes = notes.join(cohort_patients(tables, dx_ids, since), "patientId", "left_semi")
+    else:
+        notes = notes.join(cohort_patients(tables, dx_ids, since), "patientId", "left_semi")
     body = tables["newProgressNotes"].select("noteId", *NOTE_BODY_COLS)
-    out = notes.join(body, "noteId", "left").join(diagnoses_per_note(tables), "noteId", "left")
+    wanted = notes.select("noteId")
+    assessed = {**tables, "pnAssessment": tables["pnAssessment"].join(wanted, "noteId", "left_semi")}
+    out = notes.join(body, "noteId", "left").join(diagnoses_per_note(assessed), "noteId", "left")
     pos = tables["placeOfService"].select(
         F.col("posCodes").alias("_pos"), F.col("posName").alias("PlaceOfService"))
     out = out.join(dimension(pos), out["_pos_code"] == F.col("_pos"), "left").drop("_pos", "_pos_code")

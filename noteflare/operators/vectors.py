@@ -29,7 +29,7 @@ from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteflare.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, english_stop_words
+from noteflare.constants import TFIDF_MAX_FEATURES, TFIDF_MIN_DF, ENGLISH_STOP_WORDS
 from noteflare.operators.joins import bounded
 
 # A token is a run of 2+ letters, digits or underscores (lower-cased first).
@@ -42,7 +42,7 @@ def tokens(df: DataFrame, text_col: str, out_col: str = "terms", ngram_max: int
 
     N-grams are formed from the tokens left after stop-word removal.
     """
-    stop = list(stop_words if stop_words is not None else english_stop_words())
+    stop = list(stop_words if stop_words is not None else ENGLISH_STOP_WORDS)
     tmp = "_tok"
     raw = df.withColumn(tmp + "_raw", F.regexp_extract_all(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0))

@@ -40,7 +40,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # A patient present in the fixture cohort at every scale factor.
-LOOKUP_PATIENT = 572
+LOOKUP_PATIENT = 605  # outside the cohort on the sf0.01 fixture
 
 # Numeric/boolean feature columns correlated with the flare label.
 CORR_COLS = (
