@@ -37,8 +37,9 @@ def _places(tokens, k: int) -> F.Column:
 
 
 def _shingles(tokens, k: int) -> F.Column:
-    """Distinct shingles as text."""
-    return F.array_distinct(F.transform(_places(tokens, k), lambda i: F.array_join(F.slice(tokens, i + 1, k), " ")))
+    """Distinct shingles as text; the outer lambda has the tokens made once, not once a shingle."""
+    return F.transform(F.array(tokens), lambda t: F.array_distinct(
+        F.transform(_places(t, k), lambda i: F.array_join(F.slice(t, i + 1, k), " "))))[0]
 
 
 def _hash_at(tokens, i, k: int) -> F.Column:
@@ -76,7 +77,7 @@ def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                         F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
-    tokens = texts.select("row", words(F.col("text")).alias("tokens")).where(F.size("tokens") >= k)
+    tokens = texts.select("row", words(F.col("text")).alias("tokens"))
     probes = tokens.select("row", "tokens", F.explode(_places(F.col("tokens"), k)).alias("i")).select(
         "row", _hash_at(F.col("tokens"), F.col("i"), k).alias("key"))
     # At most one entry an item: bounded by the benchmark.
