@@ -3,25 +3,29 @@
 Every start of an ``n``-byte string gets a bucket identifier that is refined by
 doubling: the 8-byte prefix is its own bucket, and the identifier for 2m bytes
 combines the identifiers for m bytes at the start and m bytes later, each
-level reusing the one before (8, 16, 32, 64, 128 bytes, then ``n`` from
-two overlapping 128-byte buckets).  Identifiers are numbers computed from those below, so
-equal strings get equal identifiers in every task without a rank exchange.
+level reusing the one before (8, 16, 32, 64 bytes; longer ones from overlapping
+buckets).  Identifiers are numbers computed from those below, so equal strings get
+equal identifiers in every task without a rank exchange.
 
-Starts are refined only as far as needed:
+Starts are refined only as far as needed, always by the same step on ranges of starts:
 
 1.  Initial buckets.  A start belongs to the bucket of the q-gram with the
     smallest identifier among the q-grams of its string (a property of the string
-    alone).  Neighbouring starts with the same q-gram form a run, so the corpus
-    shuffles one short row per run, about one for 85 bytes.  A bucket with one run is done: none
-    of its starts occurs anywhere else.
-2.  Run buckets: first and last start's identifiers and the length name the whole run.
-    Two equal runs: all their starts occur twice.
-3.  Only for the remaining runs of a bucket, and one copy of each repeated run beside
-    them, single starts are told apart by their own ``n``-byte identifiers.
+    alone).  Neighbouring starts with the same q-gram form a range, so the corpus
+    shuffles one short row per range, about one for 70 bytes.
+2.  Ranges left over are cut where their starts' distance to the q-gram passes a multiple of
+    ``CUT``; all starts of a piece share the bytes between its ends, whose identifier
+    refines the bucket.
+3.  Pieces left over fall into single starts, with their ``n``-byte identifiers.
+
+At each step a bucket with one range is done: none of its starts occurs anywhere
+else.  Ranges of a bucket that are equal as a whole (identifiers of the first and last
+start, and the length) are done too: all their starts repeat.  What is left goes on,
+with one copy of each repeated range beside it.  Bytes travel only with ranges left after step 1.
 
 Bucket sizes are counts (combined map-side); hot buckets are joins whose
 rows adaptive execution splits.  Nothing is gathered by bucket.
-Identifiers are 64 bits and compared only inside one 64-bit q-gram bucket.
+Identifiers have 64 bits and are compared only inside one 64-bit bucket.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from pyspark.sql import functions as F
 from noteflare.llm.common import arrow_stage, scratch_table, with_fields
 
 LENGTH = 200
-Q = 32
+CUT = 17
 CHUNK = 1 << 20  # starts refined at once; bounds memory on very long texts
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _S = np.uint64(32)
@@ -58,44 +62,67 @@ def _octets(data: np.ndarray) -> np.ndarray:
     return _pair(raw, raw)
 
 
+def q_of(length: int) -> int:
+    """Bytes of the initial q-grams: the largest power of two up to a third of the length."""
+    return 1 << (length // 3).bit_length() - 1
+
+
 class Buckets:
     """Identifiers of one stretch of bytes, by refinement."""
 
-    def __init__(self, data: np.ndarray, length: int = LENGTH):
-        self.length, self.m, self.ids = length, 8, {8: _octets(data)}
-        while self.m * 2 <= max(Q, length // 2):
-            x = self.ids[self.m]
-            self.ids[2 * self.m] = _pair(x[:-self.m], x[self.m:])
-            self.m *= 2
-
-    def full(self, at: np.ndarray) -> np.ndarray:
-        """``length``-byte identifiers of the starts ``at``."""
-        m = self.m
-        if m * 2 < self.length:
+    def __init__(self, data: np.ndarray, length: int):
+        self.ids, m = {8: _octets(data)}, 8
+        while 2 * m <= length // 2:
             x = self.ids[m]
-            wide = lambda p: _pair(x[p], x[p + m])
-            return _pair(wide(at), wide(at + self.length - 2 * m))
-        return _pair(self.ids[m][at], self.ids[m][at + self.length - m])
-
-
-def _runs(data: np.ndarray, length: int):
-    """Runs of one stretch: (first start, last start, bucket, run identifier) arrays."""
-    n = len(data) - length + 1
+            m *= 2
+            self.ids[m] = _pair(x[:-(m // 2)], x[m // 2:])
+
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Identifiers of the ``length``-byte strings that start ``at``."""
+        m = max(m for m in self.ids if m <= length)
+        x = self.ids[m]
+        if 2 * m >= length:
+            return _pair(x[at], x[at + length - m])
+        wide = lambda p: _pair(x[p], x[p + m])
+        return _pair(wide(at), wide(at + length - 2 * m))
+
+
+def _ranges(data: np.ndarray, length: int):
+    """Ranges of one stretch: (first, last, q-gram's place, bucket, whole) arrays."""
+    n, q = len(data) - length + 1, q_of(length)
     b = Buckets(data, length)
-    grams, span = b.ids[Q], length - Q + 1
-    places = np.arange(len(grams), dtype=np.uint64)
-    low = (grams & ~np.uint64(0xFFFFFF)) | places  # smallest identifier, leftmost place
+    grams, span = b.ids[q], length - q + 1
+    low = (grams & ~np.uint64(0xFFFFFF)) | np.arange(len(grams), dtype=np.uint64)  # smallest, leftmost place
     width = 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[:n], low[span - width:span - width + n])
-    at = low & np.uint64(0xFFFFFF)
+    at = (low & np.uint64(0xFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     last = np.append(first[1:], n) - 1
-    bucket = grams[at[first].astype(np.int64)]
-    ends = _pair(b.full(first), b.full(last))
-    return first, last, bucket, _pair(ends, (last - first).astype(np.uint64))
+    return first, last, at[first], grams[at[first]], _whole(b, first, last, length)
+
+
+def _whole(b: Buckets, first, last, length):
+    """Identifier of a whole range, from those of its ends."""
+    return _pair(_pair(b.of(first, length), b.of(last, length)), (last - first).astype(np.uint64))
+
+
+def _pieces(data: np.ndarray, first: int, last: int, at: int, bucket: int, length: int):
+    """A range cut by distance to its q-gram: (first, last, refined bucket, whole) arrays.
+
+    ``data`` begins at ``first``; positions are in the text.
+    """
+    b = Buckets(data, length)
+    lane = (at - np.arange(first, last + 1)) // CUT
+    head = np.flatnonzero(np.concatenate(([True], lane[1:] != lane[:-1])))
+    tail = np.append(head[1:], len(lane)) - 1
+    # All starts of lane g hold the bytes from at - g * CUT on, as far as the farthest start reaches.
+    shared = length - CUT + 1
+    core = b.of(at - lane[head] * CUT - first, shared)
+    refined = _pair(core, lane[head].astype(np.uint64) ^ np.int64(bucket).view(np.uint64))
+    return head + first, tail + first, refined, _whole(b, head, tail, length)
 
 
 def _stretches(n: int, length: int):
@@ -112,43 +139,109 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64))
 
 
-def _batch(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    cols = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
-    return pa.RecordBatch.from_arrays([_long(c) for c in cols], names=names)
+def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One refinement step on (row, first, last, at, bucket, whole) ranges of starts.
 
+    Gives (row, first, last) of ranges that repeat as a whole, and the rows
+    to refine on: unequal ranges that share a bucket, and one of each kind of repeated range beside them.
+    """
+    kinds = ranges.groupBy("bucket", "whole").agg(
+        F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
+    kinds = scratch_table(kinds, "suffix-kinds")
+    buckets = kinds.groupBy("bucket").agg(F.sum("n").alias("in_bucket"), F.max(F.col("n") == 1).alias("open"))
+    unsure = buckets.where("in_bucket > 1 and open").select("bucket")
+    onward = kinds.join(unsure, "bucket", "left_semi").select("bucket", "one.*")
+    twice = ranges.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi")
+    return twice.select("row", "first", "last"), onward
 
-def repeated_runs(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """From (row, text): starts known to repeat, and runs left to refine.
 
-    (row, first, last) inclusive start ranges that occur elsewhere, and
-    (row, first, last, bucket) runs whose single starts must be told apart.
-    """
+class _Emit:
+    """Collects columns of longs and gives them out as batches of bounded size."""
+
+    def __init__(self, names):
+        self.names, self.parts, self.size = names, [], 0
+
+    def add(self, *columns):
+        self.parts.append(columns)
+        self.size += len(columns[-1])
+
+    def ready(self, at_least: int = 200_000):
+        if self.parts and self.size >= at_least:
+            cols = [np.concatenate([p[i] for p in self.parts]) for i in range(len(self.names))]
+            self.parts, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([_long(c) for c in cols], names=self.names)
+
+
+RANGE = "row long, first long, last long, at long, bucket long, whole long"
+
+
+def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
+    """(row, first, last): inclusive ranges of starts whose strings also start elsewhere, from (row, text)."""
 
     def cut(batches):
+        out = _Emit(["row", "first", "last", "at", "bucket", "whole"])
         for b in batches:
-            parts, size = [], 0
             for key, text in zip(b.column(0).to_numpy(), b.column(1)):
                 data = _octet_view(text.as_py())
                 for offset, n in _stretches(len(data), length):
-                    first, last, bucket, run = _runs(data[offset:offset + n], length)
-                    parts.append((np.full(len(first), key), first + offset, last + offset, bucket, run))
-                    size += len(first)
-                    if size > 200_000:
-                        yield _batch(parts, names)
-                        parts, size = [], 0
-            if parts:
-                yield _batch(parts, names)
-
-    names = ["row", "first", "last", "bucket", "run"]
-    runs = scratch_table(arrow_stage(rows, cut, ", ".join(f"{c} long" for c in names)), "suffix-runs")
-    same = runs.groupBy("bucket", "run").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
-    same = scratch_table(same, "suffix-buckets")
-    buckets = same.groupBy("bucket").agg(F.sum("n").alias("in_bucket"), F.max(F.col("n") == 1).alias("open"))
-    unsure = buckets.where("in_bucket > 1 and open").select("bucket")
-    to_refine = same.join(unsure, "bucket", "left_semi").select("bucket", "one.*")
-    twice = runs.join(same.where("n > 1").select("bucket", "run"), ["bucket", "run"], "left_semi")
-    return twice.select("row", "first", "last"), to_refine
+                    first, last, at, bucket, whole = _ranges(data[offset:offset + n], length)
+                    out.add(np.full(len(first), key), first + offset, last + offset, at + offset, bucket, whole)
+                    yield from out.ready()
+        yield from out.ready(0)
+
+    twice, onward = _settle(scratch_table(arrow_stage(rows, cut, RANGE), "suffix-ranges"))
+
+    def with_bytes(batches):
+        for b in batches:
+            keys, cols, pieces = [], [], []
+            for key, text, ranges in zip(b.column(0), b.column(1), b.column(2)):
+                raw = (text.as_py() or "").encode("utf-8", "replace")
+                for r in ranges.values.to_pylist():
+                    keys.append(key.as_py())
+                    cols.append((r["first"], r["last"], r["at"], r["bucket"]))
+                    pieces.append(raw[r["first"]:r["last"] + length])
+            longs = np.array(cols, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), *[pa.array(longs[:, i]) for i in range(4)], pa.array(pieces, pa.binary())],
+                names=["row", "first", "last", "at", "bucket", "data"])
+
+    per_text = onward.groupBy("row").agg(F.collect_list(F.struct("first", "last", "at", "bucket")).alias("ranges"))
+    left = scratch_table(arrow_stage(rows.join(per_text, "row"), with_bytes,
+                                     "row long, first long, last long, at long, bucket long, data binary"), "suffix-left")
+
+    def divide(batches):
+        out = _Emit(["row", "first", "last", "at", "bucket", "whole"])
+        for b in batches:
+            longs = [c.to_numpy() for c in b.columns[:5]]
+            for row, first, last, at, bucket, data in zip(*longs, b.column(5)):
+                got = _pieces(np.frombuffer(data.as_py(), np.uint8), first, last, at, bucket, length)
+                out.add(np.full(len(got[0]), row), got[0], got[1], np.full(len(got[0]), first), *got[2:])
+            yield from out.ready()
+        yield from out.ready(0)
+
+    # From here on ``at`` is the first start of the range a piece was cut from, which has its bytes.
+    again, pieces = _settle(scratch_table(arrow_stage(left, divide, RANGE), "suffix-pieces"))
+    open_pieces = pieces.groupBy("row", "at").agg(F.collect_list(F.struct("first", "last", "bucket")).alias("pieces"))
+    source = left.select("row", F.col("first").alias("at"), "data").dropDuplicates(["row", "at"])
+
+    def single(batches):
+        out = _Emit(["row", "start", "bucket", "id"])
+        for b in batches:
+            for row, at, data, todo in zip(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2), b.column(3)):
+                raw = np.frombuffer(data.as_py(), np.uint8)
+                for r in todo.values.to_pylist():
+                    a, z = r["first"] - at, r["last"] - at
+                    ids = Buckets(raw[a:z + length], length).of(np.arange(z - a + 1), length)
+                    out.add(np.full(len(ids), row), np.arange(r["first"], r["last"] + 1), np.full(len(ids), r["bucket"]), ids)
+            yield from out.ready()
+        yield from out.ready(0)
+
+    starts = scratch_table(arrow_stage(source.join(open_pieces, ["row", "at"]), single,
+                                       "row long, start long, bucket long, id long"), "suffix-starts")
+    shared = starts.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
+    alone = starts.join(shared, ["bucket", "id"], "left_semi").select(
+        "row", F.col("start").alias("first"), F.col("start").alias("last"))
+    return twice.unionByName(again).unionByName(alone)
 
 
 def _spans(first: np.ndarray, last: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -173,39 +266,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     their own; two equal texts count as each other's elsewhere.  Input columns
     pass through, but for ones named like a result column; an empty table gives an empty result.
     """
-    assert length >= 2 * Q
+    assert length >= 4 * CUT
     added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"]
     src = docs.select(*[c for c in docs.columns if c not in added])
     # A row is known by its id and text, so that reruns of a lost task agree; equal rows share one key.
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    rows = src.select(key.alias("row"), F.col(text_col).alias("text"))
-    twice, to_refine = repeated_runs(rows, length)
-
-    pick = to_refine.groupBy("row").agg(F.collect_list(F.struct("bucket", "first", "last")).alias("runs"))
-
-    def single(batches):
-        names = ["row", "start", "bucket", "id"]
-        for b in batches:
-            parts, size = [], 0
-            for key, text, runs in zip(b.column(0).to_numpy(), b.column(1), b.column(2)):
-                data = _octet_view(text.as_py())
-                for r in runs.values.to_pylist():
-                    a, z = r["first"], r["last"]
-                    ids = Buckets(data[a:z + length], length).full(np.arange(z - a + 1))
-                    parts.append((np.full(len(ids), key), np.arange(a, z + 1), np.full(len(ids), r["bucket"]), ids))
-                    size += len(ids)
-                    if size > 200_000:
-                        yield _batch(parts, names)
-                        parts, size = [], 0
-            if parts:
-                yield _batch(parts, names)
-
-    starts = arrow_stage(rows.join(pick, "row"), single, "row long, start long, bucket long, id long")
-    starts = scratch_table(starts, "suffix-starts")
-    shared = starts.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
-    alone = starts.join(shared, ["bucket", "id"], "left_semi").select(
-        "row", F.col("start").alias("first"), F.col("start").alias("last"))
-    found = (twice.unionByName(alone).groupBy("row")
+    found = (repeated_starts(src.select(key.alias("row"), F.col(text_col).alias("text")), length).groupBy("row")
              .agg(F.collect_list("first").alias("_sa_firsts"), F.collect_list("last").alias("_sa_lasts")))
     whole = src.withColumn("_sa_row", key).join(found.withColumnRenamed("row", "_sa_row"), "_sa_row", "left")
     at = [whole.columns.index(c) for c in (text_col, "_sa_firsts", "_sa_lasts")]
