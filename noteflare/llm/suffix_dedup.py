@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteflare.llm.common import arrow_stage, scratch_table, with_fields
+from noteflare.llm.common import arrow_stage, drop_scratch, scratch_table, with_fields
 
 LENGTH = 200
 CUT = 17
@@ -142,16 +142,18 @@ def _long(x: np.ndarray) -> pa.Array:
 def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One refinement step on (row, first, last, at, bucket, whole) ranges of starts.
 
-    Gives (row, first, last) of ranges that repeat as a whole, and the rows
-    to refine on: unequal ranges that share a bucket, and one of each kind of repeated range beside them.
+    ``ranges`` is a scratch table, deleted here.  Gives (row, first, last) of ranges that repeat as
+    a whole, and the rows to refine on: unequal ranges that share a bucket, and one
+    of each kind of repeated range beside them.
     """
-    kinds = ranges.groupBy("bucket", "whole").agg(
-        F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one"))
-    kinds = scratch_table(kinds, "suffix-kinds")
-    buckets = kinds.groupBy("bucket").agg(F.sum("n").alias("in_bucket"), F.max(F.col("n") == 1).alias("open"))
-    unsure = buckets.where("in_bucket > 1 and open").select("bucket")
+    shared = ranges.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    alive = scratch_table(ranges.join(shared, "bucket", "left_semi"), "suffix-alive")
+    drop_scratch(ranges)
+    kinds = scratch_table(alive.groupBy("bucket", "whole").agg(
+        F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one")), "suffix-kinds")
+    unsure = kinds.where("n = 1").select("bucket").distinct()
     onward = kinds.join(unsure, "bucket", "left_semi").select("bucket", "one.*")
-    twice = ranges.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi")
+    twice = alive.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi")
     return twice.select("row", "first", "last"), onward
 
 
@@ -238,6 +240,7 @@ def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
 
     starts = scratch_table(arrow_stage(source.join(open_pieces, ["row", "at"]), single,
                                        "row long, start long, bucket long, id long"), "suffix-starts")
+    drop_scratch(left)
     shared = starts.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
     alone = starts.join(shared, ["bucket", "id"], "left_semi").select(
         "row", F.col("start").alias("first"), F.col("start").alias("last"))
