@@ -146,12 +146,14 @@ def _settle(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     a whole, and the rows to refine on: unequal ranges that share a bucket, and one
     of each kind of repeated range beside them.
     """
-    shared = ranges.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # Counts are written before they are joined: only then can a hot bucket's rows be split in the join.
+    shared = scratch_table(ranges.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"),
+                           "suffix-shared")
     alive = scratch_table(ranges.join(shared, "bucket", "left_semi"), "suffix-alive")
     drop_scratch(ranges)
     kinds = scratch_table(alive.groupBy("bucket", "whole").agg(
         F.count("*").alias("n"), F.min(F.struct("row", "first", "last", "at")).alias("one")), "suffix-kinds")
-    unsure = kinds.where("n = 1").select("bucket").distinct()
+    unsure = scratch_table(kinds.where("n = 1").select("bucket").distinct(), "suffix-unsure")
     onward = kinds.join(unsure, "bucket", "left_semi").select("bucket", "one.*")
     twice = alive.join(kinds.where("n > 1").select("bucket", "whole"), ["bucket", "whole"], "left_semi")
     return twice.select("row", "first", "last"), onward
@@ -241,7 +243,8 @@ def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
     starts = scratch_table(arrow_stage(source.join(open_pieces, ["row", "at"]), single,
                                        "row long, start long, bucket long, id long"), "suffix-starts")
     drop_scratch(left)
-    shared = starts.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "id")
+    shared = scratch_table(starts.groupBy("bucket", "id").agg(F.count("*").alias("n")).where("n > 1")
+                           .select("bucket", "id"), "suffix-same")
     alone = starts.join(shared, ["bucket", "id"], "left_semi").select(
         "row", F.col("start").alias("first"), F.col("start").alias("last"))
     return twice.unionByName(again).unionByName(alone)
