@@ -23,7 +23,7 @@ from noteflare.operators.joins import dimension
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 1_000
 # Weight schedules by place of the source in code-point order, repeating: the factor on the
 # source's weight in each of three equal phases of training.  Each row averages 1.
 PHASES = ((0.5, 1.0, 1.5), (1.0, 1.0, 1.0), (1.5, 1.0, 0.5))
