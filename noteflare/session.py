@@ -59,6 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    elif sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir: executors of a local cluster are processes of their own")
     else:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="noteflare-ckpt-"))
     return sc.getCheckpointDir()
