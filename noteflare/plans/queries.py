@@ -616,6 +616,19 @@ def q_json_batch_score(spark, sf_dir):
     return _risk_cols(valid)
 
 
+@register("json_batch_rejects")
+def q_json_batch_rejects(spark, sf_dir):
+    """K8 + P18: request rows with unusable ids come back with their reasons, beside good ones."""
+    from noteflare.streaming.score_stream import rejected_notes
+    rows = request_rows(spark, sf_dir)
+    odd = rows.where(F.col("noteId").cast("long") % 10 == 0)
+    spoilt = odd.withColumn("noteId", F.concat(F.lit("P-"), "noteId")).unionByName(
+        odd.withColumn("patientId", F.lit("")))
+    path = IO.scratch_dir(spark, "json-rejects")
+    IO.write_note_batches(rows.unionByName(spoilt).withColumn("_shape", F.lit("object")), path)
+    return canonical(rejected_notes(IO.read_note_batch_json(spark, path)))
+
+
 @register("csv_roundtrip_score")
 def q_csv_roundtrip(spark, sf_dir):
     """S2 + S3: note table to CSV (multi-line quoted text) and back, then scored."""
@@ -714,8 +727,9 @@ def q_head_notes(spark, sf_dir):
 
 @register("sample_notes")
 def q_sample_notes(spark, sf_dir):
-    """A seeded Bernoulli sample of notes (the sampling operator itself)."""
-    return notes(spark, sf_dir, with_names=False).select("noteId", "patientId").sample(fraction=0.1, seed=42)
+    """Ten notes drawn by a hash of their id, the same for any partitioning (a sampling report)."""
+    drawn = F.md5(F.col("noteId").cast("string").cast("binary"))
+    return notes(spark, sf_dir, with_names=False).select("noteId", "patientId").orderBy(drawn, "noteId").limit(10)
 
 
 @register("boolean_columns")

@@ -23,9 +23,30 @@ OUTPUT_COLS = ("noteId", "patientId", "noteDate", "flare_probability", "flare_la
                "explanation_summary", "key_influences")
 
 
+def _violations() -> F.Column:
+    """Why a request row can't be scored; empty for a good one.  Ids arrive as text."""
+    checks = [F.when(F.col(c).cast("string").try_cast("long").isNull(), F.lit(f"{c} not a number"))
+              for c in ("noteId", "patientId")]
+    return F.array_compact(F.array(*checks))
+
+
+def rejected_notes(notes: DataFrame) -> DataFrame:
+    """The request rows that ``scored_notes`` leaves out, with the reasons.
+
+    A line that isn't JSON reads as a row without ids and ends up here.
+    """
+    bad = notes.withColumn("violations", _violations()).where(F.size("violations") > 0)
+    return bad.select(F.col("noteId").cast("string").alias("noteId"), F.col("patientId").cast("string").alias("patientId"),
+                      F.array_join("violations", "; ").alias("reasons"))
+
+
 def scored_notes(notes: DataFrame, scorer: LinearScorer) -> DataFrame:
-    """Request rows -> scored, explained note records (batch or stream)."""
-    feats = note_features(conform_notes(notes))
+    """Request rows -> scored, explained note records (batch or stream).
+
+    A row whose ids aren't numbers never fails the others and is never
+    scored; ``rejected_notes`` gives it with its reasons.
+    """
+    feats = note_features(conform_notes(notes.where(F.size(_violations()) == 0)))
     out = explain_notes(scorer.transform(feats), scorer.contributions())
     return out.select(F.col("noteId").cast("long").alias("noteId"), F.col("patientId").cast("long").alias("patientId"),
                       *OUTPUT_COLS[2:])
@@ -35,11 +56,26 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
                          scorer: LinearScorer, available_now: bool = True,
                          max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Score every JSON note batch landing in ``source_dir`` into Parquet at ``sink_dir``."""
+    notes = _incoming(spark, source_dir, max_files_per_trigger)
+    return _start(scored_notes(notes, scorer), sink_dir, checkpoint_dir, available_now)
+
+
+def start_reject_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
+                        available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """The rows the scoring stream leaves out, with reasons, into Parquet at ``sink_dir``."""
+    notes = _incoming(spark, source_dir, max_files_per_trigger)
+    return _start(rejected_notes(notes), sink_dir, checkpoint_dir, available_now)
+
+
+def _incoming(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.schema(BATCH_DDL)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    notes = flatten_batch(reader.json(source_dir))
-    writer = (scored_notes(notes, scorer).writeStream.format("parquet")
+    return flatten_batch(reader.json(source_dir))
+
+
+def _start(rows: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool) -> StreamingQuery:
+    writer = (rows.writeStream.format("parquet")
               .option("checkpointLocation", checkpoint_dir).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start(sink_dir)

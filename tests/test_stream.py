@@ -6,7 +6,7 @@ from noteflare.constants import SAFE_NUMERIC_COLS
 from noteflare.operators.model import LinearScorer
 from noteflare.plans import queries as Q
 from noteflare.sources import io as IO
-from noteflare.streaming.score_stream import scored_notes, start_scoring_stream
+from noteflare.streaming.score_stream import rejected_notes, scored_notes, start_reject_stream, start_scoring_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +30,20 @@ def test_restart_scores_only_new_files(spark):
     batch = scored_notes(IO.read_note_batch_json(spark, src + "/*"), scorer)
     key = ["noteId", "flare_probability", "flare_risk_level"]
     assert sorted(out.select(*key).collect()) == sorted(batch.select(*key).collect())
+
+
+def test_bad_rows_never_fail_or_get_scored(spark):
+    scorer = LinearScorer(tuple(SAFE_NUMERIC_COLS), {c: 0.2 for c in SAFE_NUMERIC_COLS}, -1.0,
+                          {c: 0.0 for c in SAFE_NUMERIC_COLS})
+    src = IO.scratch_dir(spark, "t-bad-src")
+    lines = ['{"noteId": "1", "patientId": "2"}', '{"noteId": "P-7", "patientId": "2"}', "not json",
+             '{"noteId": "3", "patientId": ""}', '{"notes": [{"noteId": "4", "patientId": "5"}, {"noteId": "x", "patientId": "y"}]}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(src)
+    good, bad = IO.scratch_dir(spark, "t-bad-good"), IO.scratch_dir(spark, "t-bad-bad")
+    start_scoring_stream(spark, src, good, IO.scratch_dir(spark, "t-bad-c1"), scorer).awaitTermination()
+    start_reject_stream(spark, src, bad, IO.scratch_dir(spark, "t-bad-c2")).awaitTermination()
+    assert sorted(r.noteId for r in spark.read.parquet(good).collect()) == [1, 4]
+    got = sorted((r.noteId or "", r.patientId or "", r.reasons) for r in spark.read.parquet(bad).collect())
+    assert got == [("", "", "noteId not a number; patientId not a number"), ("3", "", "patientId not a number"),
+                   ("P-7", "2", "noteId not a number"), ("x", "y", "noteId not a number; patientId not a number")]
+    assert rejected_notes(IO.read_note_batch_json(spark, src)).count() == 4
