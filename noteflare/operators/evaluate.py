@@ -3,19 +3,18 @@
 ROC needs, for every distinct score, the number of negatives (and
 positives) scoring below it: a cumulative sum in score order.  A single
 global window would put every distinct score in one task, so the order is
-split into buckets at approximate quantiles of the scores:
-
-1. rows are reduced to ``(group, score) -> pos, neg`` (map-side combined);
-2. each distinct score gets a bucket from ~``n_buckets`` approximate
-   quantile bounds (one aggregate; the bounds are read back like a fitted
-   parameter);
-3. per-bucket totals (groups x buckets rows) get their running offsets from
-   a small window;
-4. inside a bucket a window over that bucket's distinct scores adds the
-   local running sum.
-
-The result is exact; equal scores collapse in step 1, so a hot score
-value cannot overload a bucket.
+cut into ranges of distinct scores:
+
+1. rows are reduced to ``(group, score) -> pos, neg`` (map-side combined),
+   so a hot score is one row;
+2. those rows are range-partitioned by (group, score) and written once with
+   their range's number.  Ranges hold about as many distinct scores each, whatever
+   the rows a score has, and their number follows the session's shuffle
+   partitions;
+3. per-range totals get their running offsets from a small window;
+4. a window over a range's distinct scores adds the local running sum.
+
+The result is exact, and the scored rows are read once.
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noteflare.operators.joins import dimension
+from noteflare.operators.joins import bounded
+from noteflare.session import materialize
 
 
 def _counts(df: DataFrame, label: str, pred: str) -> DataFrame:
@@ -86,39 +86,53 @@ def class_report(df: DataFrame, label: str, pred: str) -> DataFrame:
     )))
 
 
-def score_ranks(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
-                n_buckets: int = 64) -> DataFrame:
-    """Per (group, distinct score): pos, neg and the positives/negatives below it.
+def score_ranges(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+                 n_buckets: int | None = None) -> DataFrame:
+    """``*by, score, pos, neg, bucket``: distinct scores with their range's number, written once.
 
-    Output columns: ``*by, score, pos, neg, pos_below, neg_below``.
+    Numbers rise with (group, score).  ``n_buckets`` defaults to the session's
+    shuffle partitions.
     """
     by = list(by)
     y = F.col(label).cast("long")
     per_score = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    # ~n_buckets quantile bounds: a small fitted parameter, read back once.
-    row = df.agg(F.percentile_approx(F.col(score).cast("double"), probs, 10000).alias("b")).first()
-    bounds = sorted(set(row["b"] or []))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + (F.col("score") > F.lit(b)).cast("int")
-    keyed = per_score.withColumn("bucket", bucket)
+    ranged = (per_score.repartitionByRange(n_buckets, *by, "score") if n_buckets
+              else per_score.repartitionByRange(*by, "score"))
+    return materialize(ranged.withColumn("bucket", F.spark_partition_id()), "roc-scores")
+
+
+def score_ranks(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+                n_buckets: int | None = None) -> DataFrame:
+    """Per (group, distinct score): pos, neg, the positives/negatives below it, and the group's totals.
+
+    Output columns: ``*by, score, pos, neg, pos_below, neg_below, pos_all, neg_all``.
+    """
+    by = list(by)
+    keyed = score_ranges(df, score, label, by, n_buckets)
     totals = keyed.groupBy(*by, "bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
-    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "bucket",
+    group = Window.partitionBy(*by)
+    before = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], F.col("bucket").alias("_o_bucket"),
                             F.coalesce(F.sum("b_pos").over(before), F.lit(0)).alias("pos_off"),
-                            F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("neg_off"))
+                            F.coalesce(F.sum("b_neg").over(before), F.lit(0)).alias("neg_off"),
+                            F.sum("b_pos").over(group).alias("pos_all"), F.sum("b_neg").over(group).alias("neg_all"))
+    # Without groups there is one offset row per range; with groups their number grows, so Spark picks the join.
+    side = offsets if by else bounded(offsets)
+    on = F.col("bucket") == F.col("_o_bucket")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     inside = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    joined = keyed.join(dimension(offsets), [*by, "bucket"])
-    return joined.select(
+    return keyed.join(side, on).select(
         *by, "score", "pos", "neg",
         (F.col("pos_off") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("pos_below"),
         (F.col("neg_off") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("neg_below"),
+        "pos_all", "neg_all",
     )
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), n_buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (),
+            n_buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC (ties count one half) per group: ``*by, n_pos, n_neg, auc``.
 
     AUC is NULL when a group has only one class.
@@ -133,17 +147,21 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), n_buc
     return agg.select(*by, "n_pos", "n_neg", auc.alias("auc"))
 
 
-def roc_points(df: DataFrame, score: str, label: str, n_buckets: int = 64) -> DataFrame:
+def roc_points(df: DataFrame, score: str, label: str, n_buckets: int | None = None) -> DataFrame:
     """(threshold, tp, fp, tpr, fpr) for every distinct score as threshold
-    (a note is positive when its score >= threshold)."""
+    (a note is positive when its score >= threshold), and the curve's start at
+    (0, 0), whose threshold lies above every score (NULL).
+
+    A rate is NULL where its class has no rows; without rows there is no curve."""
     r = score_ranks(df, score, label, (), n_buckets)
-    y = F.col(label).cast("long")
-    p_all = df.agg(F.sum(y)).scalar()  # scalar subqueries: totals of the input
-    n_all = df.agg(F.sum(F.lit(1) - y)).scalar()
-    tp = p_all - F.col("pos_below")
-    fp = n_all - F.col("neg_below")
-    return r.select(F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
-                    (tp / p_all).alias("tpr"), (fp / n_all).alias("fpr"))
+    p_all, n_all = F.col("pos_all"), F.col("neg_all")
+    point = lambda t, tp, fp: F.struct(
+        t.alias("threshold"), tp.cast("long").alias("tp"), fp.cast("long").alias("fp"),
+        F.try_divide(tp, p_all).alias("tpr"), F.try_divide(fp, n_all).alias("fpr"))
+    own = point(F.col("score"), p_all - F.col("pos_below"), n_all - F.col("neg_below"))
+    start = point(F.lit(None).cast("double"), F.lit(0), F.lit(0))
+    lowest = (F.col("pos_below") == 0) & (F.col("neg_below") == 0)
+    return r.select(F.inline(F.when(lowest, F.array(own, start)).otherwise(F.array(own))))
 
 
 def subgroup_auc(df: DataFrame, score: str, label: str, group: str, min_rows: int = 30) -> DataFrame:

@@ -33,6 +33,7 @@ from noteflare.operators import model as M
 from noteflare.operators import scoring as S
 from noteflare.operators import vectors as V
 from noteflare.operators.joins import bounded
+from noteflare.session import materialize
 from noteflare.sources import io as IO
 from noteflare.sources.fixtures import base_table, fixture_tables
 
@@ -101,19 +102,16 @@ _MATERIALIZED: dict = {}
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Write ``build()`` once per session as a reliable checkpoint and reuse it.
+    """Write ``build()`` once per session as Parquet in the shared folder and reuse it.
 
-    The feature table is read by many stages (fits, scoring, reports); a
-    checkpoint in the shared checkpoint folder cuts the long extract ->
-    clean -> feature lineage, so each later job reads the table instead of
-    re-running the joins and regexes, and a lost executor costs a re-read,
-    not a recomputation.
+    The feature table is read by many stages (fits, scoring, reports); each
+    later job scans only the columns it needs instead of re-running the
+    joins and regexes, and a lost executor costs a re-read, not a
+    recomputation.
     """
-    from noteflare.session import cut_lineage
-
     key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
     if key not in _MATERIALIZED:
-        _MATERIALIZED[key] = cut_lineage(build())
+        _MATERIALIZED[key] = materialize(build(), name)
     return _MATERIALIZED[key]
 
 
@@ -470,19 +468,18 @@ def gbt_run(spark, sf_dir):
     if key in _FITS:
         return _FITS[key]
     from noteflare.operators import ml
-    from noteflare.session import cut_lineage
 
     nt = note_text(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
     terms = V.doc_terms(nt.select("noteId", "is_train", "tfidf_text"), "noteId", "tfidf_text", train_flag="is_train")
     voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
     # The vocabulary (<= max_features rows) is read three times: write it once.
-    voc = V.Vocabulary(cut_lineage(voc.terms), voc.n_docs)
+    voc = V.Vocabulary(materialize(voc.terms, "note-vocabulary"), voc.n_docs)
     # The weights feed both the SVD fit and the projection: write them once.
-    weights = cut_lineage(V.tfidf(terms, voc, "noteId", keep=["is_train"]))
+    weights = materialize(V.tfidf(terms, voc, "noteId", keep=["is_train"]), "note-weights")
     n_terms = voc.terms.count()
     # Training vectors built in the JVM from each note's own tokens (no shuffle), written once.
-    train_vecs = cut_lineage(V.tfidf_vectors(V.tokens(nt.where("is_train").select("noteId", "tfidf_text"),
-                                                      "tfidf_text"), voc).select("noteId", "text_vec"))
+    train_vecs = materialize(V.tfidf_vectors(V.tokens(nt.where("is_train").select("noteId", "tfidf_text"),
+                                                      "tfidf_text"), voc).select("noteId", "text_vec"), "note-vectors")
     svd = ml.fit_svd(train_vecs, n_terms)
     # Balanced class weights from the narrow training labels (2 rows, bounded).
     cw = label.class_weights(nt.where("is_train")).select(label.TARGET, F.col("weight").alias("_cw"))
@@ -490,9 +487,9 @@ def gbt_run(spark, sf_dir):
     data = data.join(bounded(cw), label.TARGET, "left").withColumns({
         "weight": F.when(F.col("is_train"), F.col("_cw")).otherwise(F.lit(1.0)),
         "is_valid": F.col("is_train") & ml.validation_flag()})
-    data = cut_lineage(ml.assemble(data).select(
+    data = materialize(ml.assemble(data).select(
         "noteId", "patientId", "noteDate", "split", "is_valid", "weight", label.TARGET, "patient_gender",
-        "features"))
+        "features"), "model-input")
     train = data.where(F.col("split") == "train")
     model = ml.fit_gbt(train, label.TARGET, "weight")
     scored = ml.positive_probability(model.transform(data))

@@ -58,6 +58,28 @@ def test_grouped_auc_matches_brute_force(spark):
         assert abs(got[g] - _brute_auc([(s, y) for gg, s, y in rows if gg == g])) < 1e-12
 
 
+def test_hot_score_spreads_over_ranges(spark):
+    """198,000 of 200,000 rows on one score: the distinct scores still spread evenly."""
+    hot = spark.range(198_000).select(F.lit(0.5).alias("score"), (F.col("id") % 2).alias("y"))
+    rest = spark.range(2_000).select((F.col("id") / 2_000).alias("score"), (F.col("id") % 3 == 0).cast("long").alias("y"))
+    df = hot.unionByName(rest)
+    sizes = [r["count"] for r in E.score_ranges(df, "score", "y", n_buckets=16).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 2_000 and len(sizes) >= 12 and max(sizes) <= 400
+
+
+def test_roc_points_start_and_end(spark):
+    df = spark.createDataFrame([(0.2, 0), (0.2, 1), (0.9, 1), (0.4, 0)], "score double, y int")
+    got = {r["threshold"]: (r["tp"], r["fp"]) for r in E.roc_points(df, "score", "y", n_buckets=3).collect()}
+    assert got == {None: (0, 0), 0.9: (1, 0), 0.4: (1, 1), 0.2: (2, 2)}
+    assert E.roc_points(df.where("score > 2"), "score", "y").count() == 0
+
+
+def test_materialized_tables_are_parquet_scans(spark):
+    plan = Q.features(spark, SF).select("patientId")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ReadSchema: struct<patientId" in plan
+    assert "ExistingRDD" not in plan
+
+
 def test_tfidf_vectors_equal_long_form(spark):
     """V4 as ML vectors (no shuffle) equals the long-form weights, document by document."""
     from noteflare.operators import vectors as V
