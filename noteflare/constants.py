@@ -130,7 +130,7 @@ MASK_PATTERNS = (
     r"\b(triamcinolone|clobetasol|hydrocortisone|ointment|apply|start|apply\s+\w+|prescribed|prescription|start\s+)\b",
     r"\b(apply|use)\b.*?(ointment|cream|gel)\b",
 )
-# HTML entities decoded by the cleaner, "&amp;" last so "&amp;lt;" stays "&lt;".
+# HTML entities the oracle's cleaner decodes (those of the given tables), "&amp;" last so "&amp;lt;" stays "&lt;".
 HTML_ENTITIES = (
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
     ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),

@@ -7,24 +7,37 @@ Python's ``re`` treats ``str`` patterns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Mapping
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noteflare.constants import HTML_ENTITIES, MASK_PATTERNS
+from noteflare.constants import MASK_PATTERNS
 
 ColumnOrName = Column | str
 
-# Removed before tags so their content disappears with them.
+# Removed before tags so their content disappears with them; one left open runs to the end.
 _HTML_BLOCKS = (
     r"(?s)<!--.*?-->",
-    r"(?is)<script\b[^>]*>.*?</script\s*>",
-    r"(?is)<style\b[^>]*>.*?</style\s*>",
-    r"(?is)<template\b[^>]*>.*?</template\s*>",
+    r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
+    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)",
+    r"(?is)<template\b[^>]*>.*?(?:</template\s*>|\z)",
     r"<![^>]*>",
-    r"</?[A-Za-z][^>]*>",
+    # A quoted attribute value may hold '>'.
+    r"""</?[A-Za-z][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>""",
 )
+# A character reference, with or without its ';'.
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def entity_table() -> dict[str, str]:
+    """HTML 4 names with ';' and the legacy names that need none, from the standard library."""
+    table = {name + ";": chr(code) for name, code in name2codepoint.items()} | {"apos;": "'"}
+    return table | {name: char for name, char in html5.items() if not name.endswith(";")}
+
+
 _WS = r"[\s\x{00a0}]+"
 
 
@@ -32,29 +45,48 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def entity_pattern(entity: str) -> str:
-    """``&name;`` also matches without its ';' when no name character follows
-    (``&amp `` decodes, ``&ampx`` and ``&amp.`` do not), as HTML parsers read
-    legacy references."""
-    name = entity.strip("&;")
-    follow = "[0-9]" if name.startswith("#") else "[-.a-zA-Z0-9]"
-    return f"&{name}(?:;|(?!{follow}))"
+def _literal_map(table: Mapping[str, str]) -> Column:
+    """A constant map; Catalyst folds it once."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def clean_html(c: ColumnOrName, entities: Iterable[tuple[str, str]] = HTML_ENTITIES) -> Column:
-    """Strip tags (each replaced by a space), decode entities, collapse whitespace, trim.
+def decode_reference(ref: Column, entities: Mapping[str, str]) -> Column:
+    """The character a reference such as ``&deg;``, ``&#176;`` or ``&#xb0;`` stands for.
 
-    NULL becomes "".  Only the listed entities are decoded; others stay as is.
-    A '<' that does not open a tag (``BSA < 5%``) is kept.  Entity passes
-    run only on text that contains '&'.
+    Unknown names stay as they are; numbers that are no character give U+FFFD.
+    128-159 are read as Windows-1252, as browsers do.
+    """
+    body = F.rtrim(ref, F.lit(";"))
+    hexa = F.lower(body).startswith("&#x")
+    code = F.when(hexa, F.conv(F.substr(body, F.lit(4)), 16, 10)).otherwise(F.substr(body, F.lit(3))).try_cast("int")
+    odd = {str(i): bytes([i]).decode("cp1252", "replace") for i in range(128, 160)}
+    char = (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(code.between(128, 159), F.try_element_at(_literal_map(odd), code.cast("string")))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    named = F.try_element_at(_literal_map(entities), F.substr(ref, F.lit(2)))
+    return F.when(ref.startswith("&#"), char).otherwise(F.coalesce(named, ref))
+
+
+def decode_references(text: Column, entities: Mapping[str, str]) -> Column:
+    """Every character reference decoded in one pass, so ``&amp;lt;`` gives ``&lt;``."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 0), lambda r: decode_reference(r, entities))
+    pieces = F.zip_with(F.split(text, _REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
+
+
+def clean_html(c: ColumnOrName, entities: Mapping[str, str] | None = None) -> Column:
+    """Strip tags (each replaced by a space), decode character references, collapse whitespace, trim.
+
+    NULL becomes "".  Names come from ``entities`` (default :func:`entity_table`);
+    others stay as is.  A '<' that does not open a tag (``BSA < 5%``) is kept.
+    References are looked for only in text that contains '&'.
     """
+    table = entity_table() if entities is None else entities
     out = F.coalesce(_col(c).cast("string"), F.lit(""))
     for pattern in _HTML_BLOCKS:
         out = F.regexp_replace(out, pattern, " ")
-    decoded = out
-    for entity, char in entities:
-        decoded = F.regexp_replace(decoded, entity_pattern(entity), char)
-    out = F.when(out.contains("&"), decoded).otherwise(out)
+    # The lambda names the stripped text, which is needed more than once.
+    out = F.transform(F.array(out), lambda t: decode_references(t, table))[0]
     return F.trim(F.regexp_replace(out, _WS, " "))
 
 

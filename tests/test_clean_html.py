@@ -73,7 +73,7 @@ def _random_html(rnd):
             parts.append(rnd.choice(words))
         elif k < 0.55:
             tag = rnd.choice(["p", "b", "div", "span", "td", "br"])
-            attr = rnd.choice(["", ' class="c"', " id=x", ' data-v="1 2"'])
+            attr = rnd.choice(["", ' class="c"', " id=x", ' data-v="1 2"', ' title="a>b"', " t='x > y' z=1", " a=b=c"])
             parts.append(f"<{tag}{attr}>{rnd.choice(words)}</{tag}>")
         elif k < 0.65:
             parts.append(f"<!-- {rnd.choice(words)} -->")
@@ -88,6 +88,13 @@ def _random_html(rnd):
     return "".join(parts)
 
 
+def test_open_script_and_style_run_to_the_end(spark):
+    rows = [("a<script>var x = 1; if (x < 2) y()",), ("<p>b</p><style>.c{}",), ('<a title="a>b">x</a>',),
+            ("5 &lt; 6 &ampx &copyright;",), ("&",), ("x" * 100_000 + "<b " + 'c="d>" ' * 2_000 + ">&deg;",)]
+    df = spark.createDataFrame(rows, "h string").select(clean_html("h").alias("t"))
+    assert [r["t"] for r in df.collect()] == ["a", "b", "x", "5 < 6 &ampx &copyright;", "&", "x" * 100_000 + " °"]
+
+
 def test_random_fragments_match_the_parser(spark):
     import random
 
