@@ -279,6 +279,15 @@ def q_word_freq(spark, sf_dir):
     return eda.word_freq(base_table(spark, sf_dir, "documents"), "text")
 
 
+@register("note_word_freq")
+def q_note_word_freq(spark, sf_dir):
+    """A8 on the three note columns of the report, each with its own most frequent words."""
+    f = features(spark, sf_dir)
+    per_col = [eda.word_freq(f, c).select(F.lit(c).alias("column_name"), "word", "n")
+               for c in ("assesment", "complaints", "examination")]
+    return per_col[0].unionByName(per_col[1]).unionByName(per_col[2])
+
+
 @register("feature_corr")
 def q_feature_corr(spark, sf_dir):
     return canonical(eda.corr_matrix(features(spark, sf_dir), FLARE_CORR_FEATURES))
