@@ -7,8 +7,10 @@ block with fewer template tokens than needed is skipped (length filter), and a
 hit is dropped when the tokens left after it in either order can't make up what is needed
 (positional filter).  Survivors are verified on the sets.
 
-Blocks are the lines of a text; a longer line than ``BLOCK_WORDS`` is scanned in
-windows of that length that overlap by half, so every word is in a block.  Short
+Blocks are all runs of up to ``BLOCK_WORDS`` consecutive words of a text, wherever its
+lines break (longer, if a template is).  They are filtered together in windows of twice that length
+that overlap by half, so every block is in one; a survivor is verified by sliding a block over
+its window.  Short
 phrases are templates that need all their words, then verified to stand
 consecutively anywhere in the text.
 """
@@ -55,12 +57,26 @@ def words_of(text: str | None) -> list[bytes]:
     return _WORD.findall((text or "").encode("utf-8", "replace").lower())
 
 
-def _blocks(text: str | None):
-    """Word lists of the blocks of a text."""
-    for line in (text or "").encode("utf-8", "replace").lower().split(b"\n"):
-        words = _WORD.findall(line)
-        for a in range(0, max(1, len(words) - BLOCK_WORDS // 2), BLOCK_WORDS // 2):
-            yield words[a:a + BLOCK_WORDS]
+def _windows(words: list[bytes], size: int):
+    """Windows of twice ``size`` words; every run of ``size`` words is in one."""
+    for a in range(0, max(1, len(words) - size), size):
+        yield words[a:a + 2 * size]
+
+
+def _densest(words: list[bytes], tokens: frozenset, size: int) -> int:
+    """The most different ``tokens`` in any run of ``size`` words."""
+    at = [(i, w) for i, w in enumerate(words) if w in tokens]
+    held, best, a = Counter(), 0, 0
+    for i, w in at:
+        held[w] += 1
+        while at[a][0] <= i - size:
+            gone = at[a][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            a += 1
+        best = max(best, len(held))
+    return best
 
 
 class Index:
@@ -78,6 +94,7 @@ class Index:
             rarest = min(words, key=rank)
             self.phrases.append((label, words, rarest, words.index(rarest)))
         self.templates, self.prefix = [], {}
+        self.block_words = max([BLOCK_WORDS, *[len(words_of(t)) for _, t in templates]])
         for label, text in templates:
             ordered = sorted(set(words_of(text)), key=self.place.get)
             need = math.ceil(threshold * len(ordered) - 1e-9)
@@ -85,8 +102,8 @@ class Index:
                 self.prefix.setdefault(w, []).append((len(self.templates), i))
             self.templates.append((label, ordered, frozenset(ordered), need))
 
-    def block(self, words: list[bytes]):
-        """(label, containment) of the templates a block meets."""
+    def window(self, words: list[bytes]):
+        """(label, containment) of the templates that a block of the window meets."""
         mine = sorted({w for w in words if w in self.place}, key=self.place.get)
         seen = set()
         for j, w in enumerate(mine):
@@ -99,6 +116,8 @@ class Index:
                 if min(len(ordered) - i, len(mine) - j) < need:  # positional filter
                     continue
                 shared = len(tokens.intersection(mine))
+                if shared >= need and len(words) > self.block_words:
+                    shared = _densest(words, tokens, self.block_words)
                 if shared >= need:
                     yield label, shared / len(ordered)
 
@@ -114,8 +133,8 @@ class Index:
                            if w == rarest and i >= at and words[i - at:i - at + n] == phrase]
         found, score = set(), 1.0 if places else 0.0
         if any(w in self.prefix for w in present):
-            for block in _blocks(text):
-                for label, share in self.block(block):
+            for window in _windows(words, self.block_words):
+                for label, share in self.window(window):
                     found.add(label)
                     score = max(score, share)
         return len(words), places, found, score
