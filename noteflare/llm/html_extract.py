@@ -3,9 +3,11 @@
 The standard library's streaming parser turns a page into lines, one per block of text.
 A line's ratio is its characters over its tags (0 in menus, forms, adverts and
 other page furniture).  Ratios are smoothed with a Gaussian along the page and clustered
-by a threshold, their standard deviation.  Lines at or over it mark the content
-regions: the articles (or, without any, the innermost blocks) they stand in.  Every line of a
-content region that isn't furniture is kept, short ones too.
+by a threshold, their standard deviation.  Lines at or over it are content and choose, on
+every page, the regions they stand in: the innermost block, or the whole article
+(``article``, or ``main`` outside its articles) around it.  An article is chosen by
+its own text only: one of its lines must reach the threshold unsmoothed too, so a long neighbour
+doesn't lift a teaser.  Every line of a chosen region that isn't furniture is kept, short ones too.
 """
 
 from __future__ import annotations
@@ -46,6 +48,7 @@ class _Lines(HTMLParser):
         self.lines = []     # finished: (text, tags, furniture?, article, region)
         self.pieces, self.tags = [], 0
         self.regions = 0
+        self.mains = {0}    # article numbers that an <article> inside replaces
 
     def _state(self):
         return self.open[-1][1:] if self.open else (False, 0, 0)
@@ -67,8 +70,10 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self._flush()
             self.regions += 1
-            if tag in ("article", "main") and not article:
+            if (tag == "article" and article in self.mains) or (tag == "main" and not article):
                 article = self.regions
+                if tag == "main":
+                    self.mains.add(article)
             if tag not in ("p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr", "td", "th"):
                 region = self.regions
         own = tag in FURNITURE_TAGS or (tag == "header" and not article)
@@ -129,13 +134,13 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = np.array([len(line[0]) / max(1, line[1]) if ok else 0.0 for line, ok in zip(lines, usable)])
     level = _smooth(ratio)
-    content = (level >= min(level.std(), level[usable].max())) & np.array(usable)
-    in_article = {line[3] for line, ok in zip(lines, usable) if ok and line[3]}
-    place = 3 if in_article else 4
-    regions = {line[place] for line, c in zip(lines, content) if c} - ({0} if in_article else set())
-    if in_article and not regions:
-        regions = in_article
-    return " ".join(line[0] for line, ok in zip(lines, usable) if ok and line[place] in regions)
+    least = min(level.std(), level[usable].max())
+    content = (level >= least) & np.array(usable)
+    region = [line[3] or line[4] for line in lines]  # an article's number is that of its element
+    own = {r for r, x in zip(region, ratio) if x >= least}
+    scored = [(r, line[3]) for r, line, c in zip(region, lines, content) if c]
+    chosen = {r for r, article in scored if not article or r in own} or {r for r, _ in scored}
+    return " ".join(line[0] for line, ok, r in zip(lines, usable, region) if ok and r in chosen)
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
