@@ -58,6 +58,11 @@ def sketches(items: DataFrame, k: int = SHINGLE_WORDS, threshold: float = THRESH
     return ranked.where("nth <= need").select("item", "key")
 
 
+def _row(id_col: str, text_col: str) -> F.Column:
+    """What tells documents apart: id and text together, so repeated and null ids never mix."""
+    return F.xxhash64(F.col(id_col), F.col(id_col).isNull(), F.col(text_col))
+
+
 def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 item_col: str = "item_id", item_text_col: str = "text", k: int = SHINGLE_WORDS,
                 threshold: float = THRESHOLD) -> DataFrame:
@@ -69,6 +74,12 @@ def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     Items repeating an id are likewise told apart by text.  Other columns
     are ignored; an empty table on either side gives an empty result.
     """
+    return _hits(docs, benchmark, id_col, text_col, item_col, item_text_col, k, threshold).drop("row")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id",
+          item_text_col: str = "text", k: int = SHINGLE_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """``containment`` with the documents' ``row`` keys."""
     # Items and documents are known by id and text together, so repeated ids never mix.
     items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("tokens"),
                              F.xxhash64(F.col(item_col), F.col(item_text_col)).alias("item")).dropDuplicates(["item"])
@@ -76,7 +87,7 @@ def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     sketch = dimension(scratch_table(sketches(items, k, threshold), "sketches"))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-                        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+                        _row(id_col, text_col).alias("row"))
     tokens = texts.select("row", words(F.col("text")).alias("tokens"))
     probes = tokens.select("row", "tokens", F.explode(_places(F.col("tokens"), k)).alias("i")).select(
         "row", _hash_at(F.col("tokens"), F.col("i"), k).alias("key"))
@@ -90,13 +101,13 @@ def containment(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
                           F.size(F.array_intersect("parts", "shingles")).cast("long").alias("n_shared"),
                           F.size("parts").cast("long").alias("n_item"))
     return (shared.withColumn("containment", F.col("n_shared") / F.col("n_item"))
-            .where(F.col("containment") >= threshold).dropDuplicates(["row", "item"]).drop("row", "item"))
+            .where(F.col("containment") >= threshold).dropDuplicates(["row", "item"]).drop("item"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, all columns unchanged."""
-    hit = containment(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = _hits(docs, benchmark, id_col, text_col).select(F.col("row").alias("_hit")).distinct()
+    return docs.join(hit, _row(id_col, text_col) == F.col("_hit"), "left_anti")
 
 
 ORACLE_SQL = r"""
