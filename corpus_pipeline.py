@@ -37,8 +37,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes words of, with their place in training."""
-    return mixing.mix(docs).where("taken > 0")
+    """The documents the mix takes words of, in training order."""
+    return mixing.in_order(mixing.mix(docs).where("taken > 0"))
 
 
 STAGES = [

@@ -115,6 +115,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          where[0].alias("position"), F.array_compact(F.array(*where)).alias("positions"))
 
 
+def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``mix`` range-sorted by position, those that take nothing last, ties by id."""
+    return mixed.orderBy(F.col("position").asc_nulls_last(), id_col)
+
+
 def curriculum(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The taken copies in training order: (id, copy, position), range-sorted by position."""
     copies = mixed.where("taken > 0").select(id_col, F.posexplode("positions").alias("copy", "position"))
