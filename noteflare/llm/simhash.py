@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteflare.llm.common import arrow_stage, scratch_table
+from noteflare.llm.common import arrow_stage, scratch_table, with_fields
 from noteflare.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -60,16 +60,20 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(id, fp): one row per input row, ``fp`` as a signed long."""
-    kind = docs.schema[id_col].dataType
+    return _printed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle_words)
+
+
+def _printed(src: DataFrame, shingle_words: int) -> DataFrame:
+    """(id, text, ...) rows with ``fp`` in place of the text."""
+    rest = [c for c in src.columns if c != "text"]
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle_words) for t in b.column(1)]
+            fps = [fingerprint(t.as_py(), shingle_words) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
+                [*[b.column(c) for c in rest], pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=[*rest, "fp"])
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_stage(src, run, f"id {kind.simpleString()}, fp long")
+    return arrow_stage(src, run, with_fields(src.select(*rest).schema, "fp long"))
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -201,6 +205,13 @@ def near_links(classes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return arrow_stage(sorted_files.select("key", "fp", "t0", "t1"), run, "u long, v long")
 
 
+def _rooted(fps: DataFrame, low: F.Column, max_bits: int) -> DataFrame:
+    """(fp, low, root): every distinct fingerprint with an aggregate of its rows and its component."""
+    classes = scratch_table(fps.groupBy("fp").agg(low.alias("low")), "simhash-classes")
+    roots = connected_components(near_links(classes.select("fp"), max_bits))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, fingerprint, component_id): one row per input row.
@@ -213,10 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result.
     """
     fps = scratch_table(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
-    classes = scratch_table(fps.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
-    roots = connected_components(near_links(classes.select("fp"), max_bits))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(fps, F.min("id"), max_bits)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
@@ -224,10 +232,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their near-duplicate group, all columns unchanged.
+    """One row of each near-duplicate group, all columns unchanged.
 
-    Rows of a group without any id are kept.
+    The row with the smallest id, rows without an id last; among rows of one id (or
+    none) the one with the smallest hash of all columns (but maps).  Of wholly equal rows one is kept.
     """
-    near = near_duplicates(docs, id_col, text_col)
-    kept = near.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumn("_row", F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))
+    fps = scratch_table(_printed(src, SHINGLE_WORDS), "simhash")
+    rooted = _rooted(fps, F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "row")), MAX_BITS)
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_kept"))
+    # Equal rows first: they meet before the shuffle that the join uses again.
+    return rows.dropDuplicates(["_row"]).join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
