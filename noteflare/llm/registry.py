@@ -10,6 +10,7 @@ from noteflare.llm import (
     decontaminate,
     html_extract,
     license_scan,
+    line_dedup,
     mixing,
     simhash,
     suffix_dedup,
@@ -87,3 +88,9 @@ def op10_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@register("op13_line_dedup", line_dedup.ORACLE_SQL)
+def op13_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
