@@ -41,11 +41,24 @@ def line_key(line) -> F.Column:
     return F.translate(F.btrim(line, F.lit(SPACE)), _UPPER, _LOWER)
 
 
+def _hashes(key) -> list[F.Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")]
+
+
 def long_lines(text, min_length: int = MIN_LENGTH) -> F.Column:
     """array<struct<pos, h1, h2>> of the lines whose key has ``min_length`` code points or more."""
     keyed = F.transform(text_lines(text), lambda line, i: F.struct(i.alias("pos"), line_key(line).alias("key")))
-    return F.transform(F.filter(keyed, lambda e: F.length(e["key"]) >= min_length), lambda e: F.struct(
-        e["pos"].alias("pos"), F.xxhash64(e["key"]).alias("h1"), F.xxhash64(F.lit(1), e["key"]).alias("h2")))
+    return F.transform(F.filter(keyed, lambda e: F.length(e["key"]) >= min_length),
+                       lambda e: F.struct(e["pos"].alias("pos"), *_hashes(e["key"])))
+
+
+def distinct_lines(text, min_length: int = MIN_LENGTH) -> F.Column:
+    """array<struct<h1, h2>> of a text's different long lines.
+
+    Distinct by the keys, as strings: ``array_distinct`` has a hash set for those, but compares structs pairwise.
+    """
+    keys = F.array_distinct(F.transform(text_lines(text), line_key))
+    return F.transform(F.filter(keys, lambda k: F.length(k) >= min_length), lambda k: F.struct(*_hashes(k)))
 
 
 def _row_key(id_col, text) -> list[F.Column]:
@@ -133,8 +146,7 @@ def batches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     borders = docs.agg(F.percentile_approx(F.col(id_col), shares).alias("at")).first()["at"] or []
     ids = F.col("id")
     batch = sum((F.when(ids > b, 0).otherwise(1) for b in borders), F.lit(0))
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(
-        long_lines(F.col(text_col), min_length), lambda e: F.struct(e["h1"].alias("h1"), e["h2"].alias("h2"))))).alias("e"))
+    lines = docs.select(F.col(id_col).alias("id"), F.explode(distinct_lines(F.col(text_col), min_length)).alias("e"))
     held = lines.select("id", "e.*", batch.alias("batch"))
     # One exchange sorts every batch's lines: a line's counts of all batches travel in one row.
     mine = [F.col("batch") == b for b in range(len(borders) + 1)]
@@ -176,8 +188,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     new = ("n_lines", "n_dropped", "kept_text")
     key = _row_key(F.col(id_col), F.col(text_col))
     hot = dimension(repeated_lines(docs, id_col, text_col, min_docs, min_length, n_batches, fanout))
-    places = docs.select(F.col(id_col).alias("id"), *key, F.explode(long_lines(F.col(text_col), min_length)).alias("e"))
-    dropped = (places.select("id", "r1", "r2", "e.*").join(hot, HASH).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    # The key in a projection of its own, below the explode: a hash of the text a row, not a line.
+    keyed = docs.select(F.col(id_col).alias("id"), *key, long_lines(F.col(text_col), min_length).alias("lines"))
+    places = keyed.select("id", "r1", "r2", F.inline("lines"))
+    dropped = (places.join(hot, HASH).where(~F.col("id").eqNullSafe(F.col("keeper")))
                .groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone")))  # places of one text at most
     dropped = scratch_table(dropped, "dropped-lines")
 
