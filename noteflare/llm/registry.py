@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from noteflare.llm import (
     ann,
     chat_rotation,
+    conversation_repair,
     decontaminate,
     html_extract,
     license_scan,
@@ -16,6 +17,7 @@ from noteflare.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    vector_codes,
 )
 from noteflare.llm.common import table
 
@@ -94,3 +96,14 @@ def op10_toxicity(spark, sf_dir):
 def op13_line_dedup(spark, sf_dir):
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op12_vector_codes", vector_codes.oracle_sql())
+def op12_vector_codes(spark, sf_dir):
+    out = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@register("op11_conversation_repair", conversation_repair.ORACLE_SQL)
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")), present_col="present")
