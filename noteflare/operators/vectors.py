@@ -1,23 +1,13 @@
-"""Text and numeric vectors (V2-V4, V6, V7): long form first, vectors last.
-
-TF-IDF is kept in long form ``(doc, term, weight)``: it is the sparse
-matrix itself, it joins and aggregates like any table, and nothing is
-materialised per vocabulary column.
-
-Plan shape of :func:`tfidf`:
-
-* the raw ``(doc, text)`` rows are shuffled once by document; tokens are
-  then produced per row (regex + stop-word set + bigrams, all in the JVM),
-  exploded and counted per ``(doc, term)`` on that same partitioning;
-* the vocabulary is fitted from the ``(doc, term)`` counts of the training
-  rows (partial counts per term are combined map-side before the shuffle
-  by term); its size is capped at ``max_features`` by construction, so it
-  is broadcast to the transform.  The fit branch tokenises the training
-  documents a second time (its plan differs from the transform's, so
-  Spark does not reuse that exchange); that costs less than writing the
-  ``(doc, term)`` table, which is larger than the text;
-* the L2 norm is a window over one document's terms, again on the
-  document partitioning (no exchange).
+"""Text and numeric vectors (V2-V4, V6): the vocabulary by term, the weights row by row.
+
+* The vocabulary fit shuffles terms only, never text.  A count-min sketch of document frequencies (a fixed number of
+  cells, counted map-side and merged by cell) rules out terms that can't reach ``min_df``: a cell's count is never below that of a
+  term in it, so no term of the vocabulary is lost.  The survivors are then counted exactly, keyed by term.
+  The sketch costs a second tokenising pass over the training text and saves the shuffle of the rare terms,
+  by far the most of all word pairs.
+* The vocabulary has at most ``max_features`` terms by construction, so the transform holds it in each task: raw
+  counts, times idf, L2 norm are three row-wise stages (:func:`tfidf_vectors`), and the long form
+  ``(doc, term, weight)`` unpacks their vectors (:func:`tfidf`).  No exchange in either.
 """
 
 from __future__ import annotations
@@ -34,6 +24,7 @@ from noteflare.operators.joins import bounded
 
 # A token is a run of 2+ letters, digits or underscores (lower-cased first).
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+SKETCH_WIDTH, SKETCH_DEPTH = 1 << 19, 2  # cells: one bit each once counted, 128 KB in all
 
 
 def tokens(df: DataFrame, text_col: str, out_col: str = "terms", ngram_max: int = 2,
@@ -56,31 +47,42 @@ def tokens(df: DataFrame, text_col: str, out_col: str = "terms", ngram_max: int
     return out.drop(tmp + "_raw", tmp, *[f"{tmp}_{n}" for n in range(2, ngram_max + 1)])
 
 
-def doc_terms(df: DataFrame, doc_col: str, text_col: str, ngram_max: int = 2,
-              keep: Iterable[str] = (), train_flag: str | None = None) -> DataFrame:
-    """(doc, [keep...], term, tf[, is_train]): raw term counts per document.
+@dataclass(frozen=True)
+class Sketch:
+    """Count-min sketch of document frequencies, reduced to one bit a cell: did ``min_df`` documents meet in it?"""
+
+    words: DataFrame  # one row: array<long>, 64 cells a word
+    width: int
+    depth: int
+
+    def may_hold(self, term) -> F.Column:
+        """False only for terms that fewer than ``min_df`` documents hold."""
+        words = self.words.scalar()  # uncorrelated scalar subquery, evaluated once
+        keep = F.lit(True)
+        for cell in _cells(term, self.width, self.depth):
+            keep = keep & (F.getbit(F.get(words, F.shiftright(cell, 6).cast("int")), (cell % 64).cast("int")) == 1)
+        return keep
+
+
+def _cells(term, width: int, depth: int) -> list[F.Column]:
+    return [F.pmod(F.xxhash64(F.lit(r), term), F.lit(width)) + r * width for r in range(depth)]
+
+
+def frequency_sketch(tokenised: DataFrame, min_df: int, terms_col: str = "terms", width: int = SKETCH_WIDTH,
+                     depth: int = SKETCH_DEPTH) -> Sketch:
+    """Sketch the document frequencies of ``terms_col`` (array of terms, one row a document).
 
-    ``train_flag`` names a boolean column constant per document; it is
-    carried as an aggregate value (not a grouping key), so a later
-    ``where(is_train)`` for the vocabulary fit cannot be pushed below the
-    aggregate and both the fit and the transform reuse one tokenising shuffle.
+    ``width * depth`` cells, whatever the data: counted map-side, one row a cell and task is shuffled.
     """
-    keep = list(keep)
-    extra = [train_flag] if train_flag else []
-    # One shuffle of the raw text by document (smaller than the exploded
-    # terms); the (doc, term) count and the per-document norm window then
-    # run on that partitioning without further exchanges.
-    by_doc = df.select(doc_col, *keep, *extra, text_col).repartition(doc_col)
-    tok = tokens(by_doc, text_col, "terms", ngram_max)
-    # explode_outer + null filter: a plain explode makes Catalyst infer a
-    # ``size(terms) > 0`` filter and push it below the projection, which
-    # would evaluate the regex / stop-word / n-gram work twice per row.
-    exploded = (tok.select(doc_col, *keep, *extra, F.explode_outer("terms").alias("term"))
-                .where(F.col("term").isNotNull()))
-    aggs = [F.count(F.lit(1)).alias("tf")]
-    if train_flag:
-        aggs.append(F.max(F.col(train_flag)).alias("is_train"))
-    return exploded.groupBy(doc_col, *keep, "term").agg(*aggs)
+    held = tokenised.select(F.explode_outer(F.array_distinct(terms_col)).alias("term")).where(F.col("term").isNotNull())
+    cells = held.select(F.explode(F.array(*_cells(F.col("term"), width, depth))).alias("cell"))
+    heavy = cells.groupBy("cell").count().where(F.col("count") >= min_df)
+    bits = heavy.groupBy(F.shiftright("cell", 6).alias("id")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("cell") % 64).cast("int"))).alias("bits"))
+    every = held.sparkSession.range(0, -(-width * depth // 64), numPartitions=1)
+    words = every.join(bounded(bits), "id", "left").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda w: w["bits"]).alias("words"))
+    return Sketch(words, width, depth)
 
 
 @dataclass(frozen=True)
@@ -91,41 +93,48 @@ class Vocabulary:
     n_docs: DataFrame  # one row: n_docs
 
 
-def fit_vocabulary(terms: DataFrame, train_docs: DataFrame, max_features: int = TFIDF_MAX_FEATURES,
-                   min_df: int = TFIDF_MIN_DF) -> Vocabulary:
-    """V3 + idf: terms in at least ``min_df`` documents, top ``max_features`` by
-    total count (ties by term), idf = ln((1 + n) / (1 + df)) + 1.
+def fit_vocabulary(train: DataFrame, text_col: str, max_features: int = TFIDF_MAX_FEATURES, min_df: int = TFIDF_MIN_DF,
+                   ngram_max: int = 2, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH) -> Vocabulary:
+    """V3 + idf: terms in at least ``min_df`` of the ``train`` documents, top ``max_features`` by
+    total count (ties by term), idf = ln((1 + n) / (1 + df)) + 1; n counts all documents, empty ones too.
 
-    ``terms`` are the (doc, term, tf) rows of the *training* documents and
-    ``train_docs`` those documents (n counts all of them, empty ones too).
-    The per-term aggregate is map-side combined; the top-k keeps at most
+    ``depth=0`` counts all terms without the sketch.  The top-k keeps at most
     ``max_features`` rows per partition before the single merge task.
     """
-    n_docs = train_docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    n = n_docs.scalar()  # uncorrelated scalar subquery, evaluated once
-    stats = (terms.groupBy("term")
-             .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf_total"))
+    n = train.agg(F.count(F.lit(1)).alias("n_docs"))
+    tok = tokens(train.select(text_col), text_col, "terms", ngram_max)
+    # One row a term and document for df, then one row an occurrence for tf: both meet in one aggregate by term.
+    # explode_outer + null filter: a plain explode makes Catalyst infer a
+    # ``size(terms) > 0`` filter and push it below the projection, which
+    # would evaluate the regex / stop-word / n-gram work twice per row.
+    once = tok.select("terms", F.array_distinct("terms").alias("own"))
+    rows = once.select(F.size("own").alias("n_own"), F.posexplode_outer(F.concat("own", "terms")).alias("at", "term")).where(
+        F.col("term").isNotNull()).select("term", (F.col("at") < F.col("n_own")).cast("int").alias("d"))
+    if depth:
+        rows = rows.where(frequency_sketch(tok, min_df, "terms", width, depth).may_hold(F.col("term")))
+    stats = (rows.groupBy("term").agg(F.sum("d").alias("df"), (F.count(F.lit(1)) - F.sum("d")).alias("tf_total"))
              .where(F.col("df") >= min_df))
     top = stats.orderBy(F.col("tf_total").desc(), F.col("term").asc()).limit(max_features)
-    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    idf = F.log((F.lit(1.0) + n.scalar()) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     # Column order of the vector: alphabetical, as the reference's vectoriser.
     # The window is global but sees at most ``max_features`` rows.
     index = F.row_number().over(Window.orderBy("term")) - 1
-    vocab = top.select("term", "df", "tf_total", idf.alias("idf"), index.alias("term_index"))
-    return Vocabulary(vocab, n_docs)
+    return Vocabulary(top.select("term", "df", "tf_total", idf.alias("idf"), index.alias("term_index")), n)
 
 
-def tfidf(terms: DataFrame, vocab: Vocabulary, doc_col: str, keep: Iterable[str] = ()) -> DataFrame:
+def tfidf(df: DataFrame, vocab: Vocabulary, doc_col: str, text_col: str, keep: Iterable[str] = (),
+          ngram_max: int = 2) -> DataFrame:
     """V4: (doc, term, term_index, tfidf) with each document's weights L2-normalised.
 
     Terms outside the vocabulary are dropped; a document with none left has
-    no rows (a zero vector).
+    no rows (a zero vector).  ``vocab`` is read twice: pass a materialised one.
     """
-    keep = list(keep)
-    v = bounded(vocab.terms.select("term", "idf", "term_index"))
-    w = terms.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_col)))
-    return w.select(doc_col, *keep, "term", "term_index", (F.col("w") / norm).alias("tfidf"))
+    vectors = tfidf_vectors(tokens(df.select(doc_col, *keep, text_col), text_col, "terms", ngram_max), vocab)
+    sparse = F.unwrap_udt("text_vec")
+    pairs = vectors.select(doc_col, *keep, F.inline(F.arrays_zip(
+        sparse["indices"].alias("term_index"), sparse["values"].alias("tfidf"))))
+    names = bounded(vocab.terms.select("term", "term_index"))
+    return pairs.join(names, "term_index").select(doc_col, *keep, "term", "term_index", "tfidf")
 
 
 def tfidf_vectors(df: DataFrame, vocab: Vocabulary, terms_col: str = "terms",

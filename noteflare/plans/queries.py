@@ -33,7 +33,7 @@ from noteflare.operators import model as M
 from noteflare.operators import scoring as S
 from noteflare.operators import vectors as V
 from noteflare.operators.joins import bounded
-from noteflare.session import materialize
+from noteflare.session import materialize, spread
 from noteflare.sources import io as IO
 from noteflare.sources.fixtures import base_table, fixture_tables
 
@@ -322,33 +322,29 @@ def doc_split(doc_col: str = "doc_id") -> F.Column:
     return label.split_column(key=doc_col)
 
 
-def doc_vocabulary(spark, sf_dir):
-    docs = base_table(spark, sf_dir, "documents").select("doc_id", "text")
-    flagged = docs.withColumn("is_train", doc_split() == "train")
-    terms = V.doc_terms(flagged, "doc_id", "text", train_flag="is_train")
-    voc = V.fit_vocabulary(terms.where("is_train"), flagged.where("is_train"))
-    return docs, terms, voc
+def doc_vocabulary(spark, sf_dir, **kw):
+    docs = spread(base_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs, V.fit_vocabulary(docs.where(doc_split() == "train"), "text", **kw)
 
 
 @register("doc_vocab")
 def q_doc_vocab(spark, sf_dir):
-    _, _, voc = doc_vocabulary(spark, sf_dir)
+    _, voc = doc_vocabulary(spark, sf_dir)
     return canonical(voc.terms)
 
 
 @register("doc_vocab_wide")
 def q_doc_vocab_wide(spark, sf_dir):
     """V3 with the exploratory setting (10,000 terms): the vocabulary size is a parameter."""
-    docs = base_table(spark, sf_dir, "documents").select("doc_id", "text")
-    flagged = docs.withColumn("is_train", doc_split() == "train")
-    terms = V.doc_terms(flagged, "doc_id", "text", train_flag="is_train")
-    return canonical(V.fit_vocabulary(terms.where("is_train"), flagged.where("is_train"), max_features=10000).terms)
+    _, voc = doc_vocabulary(spark, sf_dir, max_features=10000)
+    return canonical(voc.terms)
 
 
 @register("doc_tfidf")
 def q_doc_tfidf(spark, sf_dir):
-    _, terms, voc = doc_vocabulary(spark, sf_dir)
-    return canonical(V.tfidf(terms, voc, "doc_id").select("doc_id", "term", "term_index", "tfidf"))
+    docs, voc = doc_vocabulary(spark, sf_dir)
+    voc = V.Vocabulary(materialize(voc.terms, "doc-vocabulary"), voc.n_docs)
+    return canonical(V.tfidf(docs, voc, "doc_id", "text").select("doc_id", "term", "term_index", "tfidf"))
 
 
 def note_text(spark, sf_dir) -> DataFrame:
@@ -359,10 +355,10 @@ def note_text(spark, sf_dir) -> DataFrame:
 
 @register("note_tfidf")
 def q_note_tfidf(spark, sf_dir):
-    nt = note_text(spark, sf_dir).select("noteId", (F.col("split") == "train").alias("is_train"), "tfidf_text")
-    terms = V.doc_terms(nt, "noteId", "tfidf_text", train_flag="is_train")
-    voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
-    return canonical(V.tfidf(terms, voc, "noteId").select("noteId", "term", "term_index", "tfidf"))
+    nt = note_text(spark, sf_dir).select("noteId", "split", "tfidf_text")
+    voc = V.fit_vocabulary(nt.where(F.col("split") == "train"), "tfidf_text")
+    voc = V.Vocabulary(materialize(voc.terms, "note-vocabulary"), voc.n_docs)
+    return canonical(V.tfidf(nt, voc, "noteId", "tfidf_text").select("noteId", "term", "term_index", "tfidf"))
 
 
 @register("scale_numeric")
@@ -483,40 +479,44 @@ _FITS: dict = {}
 
 
 def gbt_run(spark, sf_dir):
-    """Fit once per (session, data dir): TF-IDF -> SVD -> assemble -> GBT -> Platt."""
+    """Fit once per (session, data dir): TF-IDF -> SVD -> scale, assemble -> boosted trees -> Platt."""
     key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key in _FITS:
         return _FITS[key]
-    from noteflare.operators import ml
+    from pyspark.ml import PipelineModel
 
-    nt = note_text(spark, sf_dir).withColumn("is_train", F.col("split") == "train")
-    terms = V.doc_terms(nt.select("noteId", "is_train", "tfidf_text"), "noteId", "tfidf_text", train_flag="is_train")
-    voc = V.fit_vocabulary(terms.where("is_train"), nt.where("is_train"))
-    # The vocabulary (<= max_features rows) is read three times: write it once.
-    voc = V.Vocabulary(materialize(voc.terms, "note-vocabulary"), voc.n_docs)
-    # The weights feed both the SVD fit and the projection: write them once.
-    weights = materialize(V.tfidf(terms, voc, "noteId", keep=["is_train"]), "note-weights")
-    n_terms = voc.terms.count()
-    # Training vectors built in the JVM from each note's own tokens (no shuffle), written once.
-    train_vecs = materialize(V.tfidf_vectors(V.tokens(nt.where("is_train").select("noteId", "tfidf_text"),
-                                                      "tfidf_text"), voc).select("noteId", "text_vec"), "note-vectors")
-    svd = ml.fit_svd(train_vecs, n_terms)
+    from noteflare.operators import ml
+    from noteflare.operators.bundle import Bundle
+
+    p = ml.GbtParams()
+    nt = note_text(spark, sf_dir)
+    train = F.col("split") == "train"
+    # The vocabulary (<= max_features rows) is read back, and its stages run over each note once: the vectors are written.
+    words = [(r["term"], r["idf"]) for r in
+             V.fit_vocabulary(nt.where(train), "tfidf_text").terms.orderBy("term_index").collect()]
+    scaler = V.fit_scaler(labelled(spark, sf_dir).where(label.split_column() == "train"), SAFE_NUMERIC_COLS)
+    text = ml.text_stages(words)
+    vectors = materialize(PipelineModel(text).transform(nt.select(
+        "noteId", "patientId", "noteDate", "split", label.TARGET, "patient_gender", "tfidf_text", *SAFE_NUMERIC_COLS)
+        ).drop("tfidf_text"), "note-vectors")
+    svd = ml.fit_svd(vectors.where(train), len(words))
+    numbers = ml.vector_stages(svd, scaler)
     # Balanced class weights from the narrow training labels (2 rows, bounded).
-    cw = label.class_weights(nt.where("is_train")).select(label.TARGET, F.col("weight").alias("_cw"))
-    data = ml.svd_project(weights, svd, "noteId", nt.drop("tfidf_text"))
-    data = data.join(bounded(cw), label.TARGET, "left").withColumns({
-        "weight": F.when(F.col("is_train"), F.col("_cw")).otherwise(F.lit(1.0)),
-        "is_valid": F.col("is_train") & ml.validation_flag()})
-    data = materialize(ml.assemble(data).select(
-        "noteId", "patientId", "noteDate", "split", "is_valid", "weight", label.TARGET, "patient_gender",
-        "features"), "model-input")
-    train = data.where(F.col("split") == "train")
-    model = ml.fit_gbt(train, label.TARGET, "weight")
-    scored = ml.positive_probability(model.transform(data))
-    platt = ml.fit_platt(scored.where(F.col("is_valid")), label.TARGET)
-    names = ml.feature_names(SAFE_NUMERIC_COLS, svd.k)
-    out = {"data": data, "model": model, "scored": scored, "platt": platt, "names": names, "svd": svd,
-           "weights": weights}
+    cw = label.class_weights(vectors.where(train)).select(label.TARGET, F.col("weight").alias("_cw"))
+    data = PipelineModel(numbers).transform(vectors).join(bounded(cw), label.TARGET, "left").withColumns({
+        "weight": F.when(train, F.col("_cw")).otherwise(F.lit(1.0)),
+        "fold": F.when(train, ml.fold_column(p)).otherwise(F.lit("test"))})
+    data = materialize(data.select("noteId", "patientId", "noteDate", "split", "fold", "weight", label.TARGET,
+                                   "patient_gender", "features"), "model-input")
+    fold = lambda name: data.where(F.col("fold") == name)
+    fit = ml.fit_gbt(fold("grow"), fold("stop"), label.TARGET, "weight", p)
+    scored = ml.positive_probability(fit.model.transform(data))
+    platt = ml.fit_platt(scored.where(F.col("fold") == "calibrate"), label.TARGET)
+    facts = {"best_round": fit.best_round, "rounds_fitted": fit.rounds_fitted, "patience": p.patience,
+             "validation_auc": fit.validation_auc[fit.best_round - 1], "n_terms": len(words), "n_components": svd.k}
+    bundle = Bundle(PipelineModel([*text, *numbers, fit.model, *platt.stages]), facts)
+    out = {"data": data, "vectors": vectors, "fit": fit, "model": fit.model, "scored": scored, "platt": platt,
+           "names": ml.feature_names(SAFE_NUMERIC_COLS, svd.k), "svd": svd, "scaler": scaler, "bundle": bundle}
     _FITS[key] = out
     return out
 
@@ -543,10 +543,12 @@ def q_patient_json(spark, sf_dir):
 
 @register("svd_project")
 def q_svd_project(spark, sf_dir):
-    r = gbt_run(spark, sf_dir)
+    """V5: each labelled note's SVD components, by the row-wise stage over its TF-IDF vector."""
     from pyspark.ml.functions import vector_to_array
-    return r["data"].select("noteId", F.slice(vector_to_array("features"), len(SAFE_NUMERIC_COLS) + 1,
-                                              r["svd"].k).alias("svd"))
+
+    from noteflare.operators import ml
+    r = gbt_run(spark, sf_dir)
+    return ml.svd_stage(r["svd"]).transform(r["vectors"]).select("noteId", vector_to_array("svd_vec").alias("svd"))
 
 
 @register("gbt_train_eval")
@@ -560,14 +562,23 @@ def q_gbt_train_eval(spark, sf_dir):
 
 @register("gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
-    """Test-fold AUC and weighted report of the boosted model (rows-only)."""
+    """Test-fold AUC and weighted report of the boosted model, with its rounds and patience (rows-only)."""
     r = gbt_run(spark, sf_dir)
     test = r["scored"].where(F.col("split") == "test").withColumn("pred", F.col("prediction").cast("int"))
     auc = E.roc_auc(test, "p", label.TARGET).select(F.lit("roc_auc").alias("metric"), F.col("auc").alias("value"))
     rep = E.class_report(test, label.TARGET, "pred").where(F.col("class") == "weighted avg")
     w = rep.select(F.inline(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])))
-    return auc.unionByName(w)
+    from noteflare.operators.bundle import metrics_rows
+    facts = spark.createDataFrame(metrics_rows(r["bundle"]), "metric string, value double")
+    return auc.unionByName(w).unionByName(facts)
+
+
+@register("gbt_rounds")
+def q_gbt_rounds(spark, sf_dir):
+    """M1: validation AUC of every prefix of the ensemble, the curve the best round is read from."""
+    auc = gbt_run(spark, sf_dir)["fit"].validation_auc  # a number a round
+    return spark.createDataFrame([(i + 1, float(a)) for i, a in enumerate(auc)], "round int, validation_auc double")
 
 
 @register("calibrated")
@@ -580,22 +591,35 @@ def q_calibrated(spark, sf_dir):
 
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
+    """M5 + S8: the twenty most important features, written as CSV and read back."""
+    from noteflare.operators import ml
+    r = gbt_run(spark, sf_dir)
+    path = IO.scratch_dir(spark, "importance")
+    IO.write_csv(ml.feature_importance(r["model"], r["names"], top=20), path)
+    back = spark.read.option("header", True).schema("feature string, importance double").csv(path)
+    return back.orderBy(F.col("importance").desc(), F.col("feature").asc())
+
+
+@register("split_counts")
+def q_split_counts(spark, sf_dir):
+    """M5: how often, with what gain and in how many trees each feature splits a node."""
     from noteflare.operators import ml
     r = gbt_run(spark, sf_dir)
-    return ml.feature_importance(r["model"], r["names"], top=20)
+    return ml.split_counts(r["model"], r["names"])
 
 
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
-    """Save a new version, load the latest, score the test fold with it."""
-    from noteflare.operators import ml
-    from noteflare.sources.io import scratch_dir
+    """Save the bundle as a new version, load the latest complete one, score the test fold's raw notes with it."""
+    from noteflare.operators import bundle as B
     r = gbt_run(spark, sf_dir)
-    root = scratch_dir(spark, "models")
-    ml.save_version(r["model"], root)
-    loaded = ml.load_latest(root)
-    test = r["data"].where(F.col("split") == "test")
-    return ml.positive_probability(loaded.transform(test)).select("noteId", F.col("p").alias("probability"))
+    root = IO.scratch_dir(spark, "models")
+    B.save_bundle(spark, r["bundle"], root)
+    loaded = B.load_bundle(spark, root)
+    ids = r["data"].where(F.col("split") == "test").select(F.col("noteId").cast("string").alias("noteId"))
+    raw = request_rows(spark, sf_dir).join(ids, "noteId", "left_semi")
+    return loaded.score_notes(raw).select(F.col("noteId").cast("long").alias("noteId"), F.col("p").alias("probability"),
+                                          "p_calibrated", "flare_risk_level")
 
 
 # ---------------------------------------------------------------------------
@@ -604,11 +628,8 @@ def q_model_roundtrip(spark, sf_dir):
 
 def request_rows(spark, sf_dir) -> DataFrame:
     """Extracted notes in the scoring-request layout (ids and dates as text)."""
-    n = notes(spark, sf_dir, with_names=False)
-    return n.select(F.col("patientId").cast("string").alias("patientId"),
-                    F.col("noteId").cast("string").alias("noteId"),
-                    F.date_format("noteDate", "yyyy-MM-dd HH:mm:ss").alias("noteDate"),
-                    *[F.col(f"`{c}`") for c in IO.REQUEST_TEXT_FIELDS])
+    from noteflare.operators.bundle import as_request
+    return as_request(notes(spark, sf_dir, with_names=False), IO.REQUEST_TEXT_FIELDS)
 
 
 def _shape_col() -> F.Column:
