@@ -74,8 +74,11 @@ def position(share: F.Column, slot: F.Column, phases=PHASES) -> F.Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights=WEIGHTS, max_repeats: int = MAX_REPEATS, phases=PHASES,
-        rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """One row per document: size, its source's size and target, the words taken and where.
+        rows_per_range: int = ROWS_PER_RANGE, keep=None) -> DataFrame:
+    """The documents with size, their source's size and target, the words taken and where.
+
+    ``keep`` names the input columns that stay, by default all of them; without any, the id alone is returned.
+    Input columns named like a new one (in any case) are replaced.
 
     ``taken`` counts repeats: whole passes over the source, then documents in the
     fixed order until the target is met, the last one cut to length, so a
@@ -83,12 +86,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     that of the first copy and null when nothing is taken; ``positions`` has
     those of all copies.  Null and empty texts have size 0 and take nothing.  A null source is
     a source of its own, the last in order.  Rows repeating an id are documents of
-    their own.  Other columns are ignored; an empty table gives an empty result.
+    their own.  An empty table gives an empty result.
     """
-    # md5 of the id is the fixed pseudo-random order; its first 32 bits cut ranges.
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    base = scratch_table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                     n_words(F.col(text_col)).alias("size"), key.alias("key")), "mix")
+    new = ("size", "source_size", "target", "taken", "position", "positions")
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
+    # md5 of id and text is the fixed pseudo-random order; its first 32 bits cut ranges.  Rows that share an id,
+    # or have none, spread by their texts.
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")] if kept else []
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                       n_words(F.col(text_col)).alias("size"), key.alias("key"), *row)
+    if not kept:  # narrow rows are written once; whole documents are rather read twice
+        base = scratch_table(base, "mix")
     plan = scratch_table(targets(base, weights, max_repeats), "mix-targets")
     plan = dimension(plan.withColumn("ranges", F.ceil(F.col("n_rows") / rows_per_range))
                      .withColumnRenamed("source", "of"))
@@ -111,8 +121,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = copies[0]
     for n in copies[1:]:
         taken = taken + n
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"),
-                         where[0].alias("position"), F.array_compact(F.array(*where)).alias("positions"))
+    first = F.col("row") if kept else F.struct(F.col("id").alias(id_col)).alias("row")
+    return placed.select(first, "size", "source_size", "target", taken.alias("taken"), where[0].alias("position"),
+                         F.array_compact(F.array(*where)).alias("positions")).select("row.*", *new)
 
 
 def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -136,7 +147,7 @@ def oracle_sql(docs: str = "documents") -> str:
             else f * {(a + b + c) / 3} / {a} end""")
     return f"""
 with base as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as k,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as k,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size
   from {docs}),
 src as (

@@ -80,7 +80,7 @@ def op8_simhash(spark, sf_dir):
 
 @register("op9_mixing", mixing.oracle_sql())
 def op9_mixing(spark, sf_dir):
-    out = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
+    out = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents"), keep=()))
     return out.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
