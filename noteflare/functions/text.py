@@ -8,6 +8,7 @@ Python's ``re`` treats ``str`` patterns.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Mapping
 from html.entities import html5, name2codepoint
 
@@ -28,16 +29,22 @@ _HTML_BLOCKS = (
     # A quoted attribute value may hold '>'.
     r"""</?[A-Za-z][^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*'|)[^>=]*+)*+>""",
 )
-# A character reference, with or without its ';'.
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
+# What may be a character reference: a number, or up to 32 characters that could name one.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
 def entity_table() -> dict[str, str]:
     """HTML 4 names with ';' and the legacy names that need none, from the standard library."""
-    table = {name + ";": chr(code) for name, code in name2codepoint.items()} | {"apos;": "'"}
+    table = {name + ";": html5[name + ";"] for name in name2codepoint} | {"apos;": "'"}
     return table | {name: char for name, char in html5.items() if not name.endswith(";")}
 
 
+def _legacy_prefix(entities: Mapping[str, str]) -> str:
+    """Pattern of the longest name that needs no ';' at the start of a reference that runs on (``&notit`` is ``&not`` + ``it``)."""
+    names = sorted((re.escape(n) for n in entities if not n.endswith(";")), key=len, reverse=True)
+    return "^&(" + "|".join(names) + ")" if names else r"^(\b\B)"
+
+
 _WS = r"[\s\x{00a0}]+"
 
 
@@ -50,26 +57,38 @@ def _literal_map(table: Mapping[str, str]) -> Column:
     return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
 
-def decode_reference(ref: Column, entities: Mapping[str, str]) -> Column:
-    """The character a reference such as ``&deg;``, ``&#176;`` or ``&#xb0;`` stands for.
+def decode_reference(ref: Column, entities: Mapping[str, str], more: Mapping[str, str] = html5) -> Column:
+    """The text a reference such as ``&deg;``, ``&#176;`` or ``&#xb0;`` stands for, as the standard library's ``html.unescape``.
 
-    Unknown names stay as they are; numbers that are no character give U+FFFD.
-    128-159 are read as Windows-1252, as browsers do.
+    A name is looked up whole, in ``entities`` and then in ``more`` (all HTML 5 names); if neither has it, the longest
+    name of ``entities`` that needs no ';' is decoded and the rest stays.  Unknown names stay as they are.  Numbers: 128-159
+    are read as Windows-1252, as browsers do; those that are no character give U+FFFD, control characters
+    and non-characters nothing.
     """
     body = F.rtrim(ref, F.lit(";"))
-    hexa = F.lower(body).startswith("&#x")
-    code = F.when(hexa, F.conv(F.substr(body, F.lit(4)), 16, 10)).otherwise(F.substr(body, F.lit(3))).try_cast("int")
-    odd = {str(i): bytes([i]).decode("cp1252", "replace") for i in range(128, 160)}
+    hexa = F.lower(F.substring(body, 1, 3)) == "&#x"
+    digits = F.regexp_replace(F.when(hexa, F.substr(body, F.lit(4))).otherwise(F.substr(body, F.lit(3))), "^0+", "")
+    code = (F.when(F.length(digits) > 8, F.lit(0x110000)).when(digits == "", F.lit(0))
+            .when(hexa, F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int")))
+    code = F.coalesce(code, F.lit(0x110000))
+    odd = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+    no_text = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+               | (code.bitwiseAND(0xFFFE) == 0xFFFE))
     char = (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
             .when(code.between(128, 159), F.try_element_at(_literal_map(odd), code.cast("string")))
+            .when(no_text, F.lit(""))
             .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-    named = F.try_element_at(_literal_map(entities), F.substr(ref, F.lit(2)))
-    return F.when(ref.startswith("&#"), char).otherwise(F.coalesce(named, ref))
+    name = F.substr(ref, F.lit(2))
+    prefix = F.regexp_extract(ref, _legacy_prefix(entities), 1)
+    run_on = F.concat(F.try_element_at(_literal_map(entities), prefix), F.substr(name, F.length(prefix) + 1))
+    known = [F.try_element_at(_literal_map(t), name) for t in (entities, more) if t]
+    named = F.coalesce(*known, F.when(prefix != "", run_on), ref)
+    return F.when(ref.startswith("&#"), char).otherwise(named)
 
 
-def decode_references(text: Column, entities: Mapping[str, str]) -> Column:
+def decode_references(text: Column, entities: Mapping[str, str], more: Mapping[str, str] = html5) -> Column:
     """Every character reference decoded in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 0), lambda r: decode_reference(r, entities))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), 0), lambda r: decode_reference(r, entities, more))
     pieces = F.zip_with(F.split(text, _REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
@@ -77,16 +96,16 @@ def decode_references(text: Column, entities: Mapping[str, str]) -> Column:
 def clean_html(c: ColumnOrName, entities: Mapping[str, str] | None = None) -> Column:
     """Strip tags (each replaced by a space), decode character references, collapse whitespace, trim.
 
-    NULL becomes "".  Names come from ``entities`` (default :func:`entity_table`);
+    NULL becomes "".  Names come from ``entities`` only, or by default from :func:`entity_table` and then all of HTML 5;
     others stay as is.  A '<' that does not open a tag (``BSA < 5%``) is kept.
     References are looked for only in text that contains '&'.
     """
-    table = entity_table() if entities is None else entities
+    table, more = (entity_table(), html5) if entities is None else (entities, {})
     out = F.coalesce(_col(c).cast("string"), F.lit(""))
     for pattern in _HTML_BLOCKS:
         out = F.regexp_replace(out, pattern, " ")
     # The lambda names the stripped text, which is needed more than once.
-    out = F.transform(F.array(out), lambda t: decode_references(t, table))[0]
+    out = F.transform(F.array(out), lambda t: decode_references(t, table, more))[0]
     return F.trim(F.regexp_replace(out, _WS, " "))
 
 

@@ -10,9 +10,11 @@ instead of being gathered into one.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflare.constants import (
@@ -22,6 +24,7 @@ from noteflare.constants import (
     PATIENT_RISK_BANDS,
     UP_TEXT,
 )
+from noteflare.session import materialize
 
 TEXT_SIGNAL = "text_signal"
 
@@ -88,9 +91,12 @@ def interpretable(influences: Column, names: Sequence[str] = INTERPRETABLE_FEATU
     return F.filter(influences, lambda s: F.array_contains(allowed, s["feature"]))
 
 
-def text_signals(influences: Column) -> Column:
-    """Map feature -> impact for names containing 'complaint' or 'flare'."""
-    picked = F.filter(influences, lambda s: s["feature"].contains("complaint") | s["feature"].contains("flare"))
+SIGNAL_WORDS = ("complaint", "flare")
+
+
+def text_signals(influences: Column, words: Sequence[str] = SIGNAL_WORDS) -> Column:
+    """Map feature -> impact for names containing one of ``words``."""
+    picked = F.filter(influences, lambda s: functools.reduce(operator.or_, [s["feature"].contains(w) for w in words]))
     return F.map_from_entries(F.transform(picked, lambda s: F.struct(s["feature"], s["impact"])))
 
 
@@ -139,6 +145,39 @@ def risky_notes(explained: DataFrame, cols: Sequence[str] = ("noteId", "noteDate
                            F.col("noteDate").asc_nulls_last(), F.col("noteId").asc())
 
 
+def patient_records(explained: DataFrame, max_notes: int = 1000, n_ranges: int | None = None) -> DataFrame:
+    """S5 + K6: each patient's roll-up with its ranked notes nested, in numbered parts.
+
+    (patientId, total_notes, final_flare_label, mean_probability, final_risk_level, part, parts, first_rank, risky_notes).
+    Notes are range-partitioned in rank order, so a patient with very many is spread over ranges; a range's notes of a
+    patient are cut into parts of at most ``max_notes``.  Part numbers and first ranks come from
+    counts by (patient, range).  Most patients have one part; one that lies on a range border has two.
+    """
+    rank = [F.col("flare_probability").desc(), F.col("noteDate").asc_nulls_last(), F.col("noteId").asc()]
+    cols = ("noteId", "noteDate", "flare_probability", "flare_risk_level", "patient_influences", "text_signals")
+    keys = ["patientId", *rank]
+    rows = explained.select("patientId", *cols)
+    rows = rows.repartitionByRange(n_ranges, *keys) if n_ranges else rows.repartitionByRange(*keys)
+    rows = materialize(rows.withColumn("range", F.spark_partition_id()), "ranked-notes")
+    counts = rows.groupBy("patientId", "range").agg(F.count(F.lit(1)).alias("n"))
+    patient = Window.partitionBy("patientId")
+    earlier = patient.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = F.ceil(F.col("n") / max_notes)
+    places = counts.select(
+        "patientId", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("notes_before"),
+        F.coalesce(F.sum(chunks).over(earlier), F.lit(0)).alias("parts_before"), F.sum(chunks).over(patient).alias("parts"))
+    inside = F.row_number().over(Window.partitionBy("patientId", "range").orderBy(*rank)) - 1
+    part = rows.withColumn("at", inside).withColumn("chunk", F.floor(F.col("at") / max_notes))
+    nested = part.groupBy("patientId", "range", "chunk").agg(
+        F.array_sort(F.collect_list(F.struct("at", F.struct(*cols).alias("note"))), lambda a, b: (a["at"] - b["at"]).cast("int")).alias("n"))
+    out = nested.join(places, ["patientId", "range"]).join(patient_rollup(explained), "patientId")
+    return out.select(
+        "patientId", "total_notes", "final_flare_label", "mean_probability", "final_risk_level",
+        (F.col("parts_before") + F.col("chunk") + 1).cast("long").alias("part"), F.col("parts").cast("long").alias("parts"),
+        (F.col("notes_before") + F.col("chunk") * max_notes + 1).cast("long").alias("first_rank"),
+        F.transform("n", lambda x: x["note"]).alias("risky_notes"))
+
+
 def contract_check(df: DataFrame, prob_col: str | None = "flare_probability",
                    label_col: str | None = "flare_label") -> tuple[DataFrame, DataFrame]:
     """Split rows into (valid, quarantined); quarantined rows carry ``violations``.

@@ -425,6 +425,12 @@ def q_roc_points(spark, sf_dir):
     return canonical(E.roc_points(test_predictions(spark, sf_dir), "probability", label.TARGET))
 
 
+@register("roc_curve")
+def q_roc_curve(spark, sf_dir):
+    """The curve without its collinear points."""
+    return canonical(E.roc_curve(test_predictions(spark, sf_dir), "probability", label.TARGET))
+
+
 @register("subgroup_auc")
 def q_subgroup_auc(spark, sf_dir):
     return canonical(E.subgroup_auc(test_predictions(spark, sf_dir), "probability", label.TARGET,
@@ -463,6 +469,29 @@ def q_risky_notes(spark, sf_dir):
                                F.transform("patient_influences", lambda s: s["feature"]).alias("influences")))
 
 
+@register("patient_records")
+def q_patient_records(spark, sf_dir):
+    """S5 + K6: patients with their ranked notes nested, written as JSON files and read back, one row a note."""
+    path = IO.scratch_dir(spark, "patient-records")
+    records = S.patient_records(explained_notes(spark, sf_dir))
+    IO.write_json(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    notes_ = back.select("patientId", "total_notes", "final_flare_label", "final_risk_level", "first_rank",
+                         F.posexplode("risky_notes").alias("at", "note"))
+    return canonical(notes_.select(
+        "patientId", "total_notes", "final_flare_label", "final_risk_level", (F.col("first_rank") + F.col("at")).alias("rank"),
+        "note.noteId", "note.flare_probability", "note.flare_risk_level",
+        F.transform("note.patient_influences", lambda s: s["feature"]).alias("influences")))
+
+
+@register("influence_map")
+def q_influence_map(spark, sf_dir):
+    """Feature -> impact maps of each note's interpretable influences by words in their names, as rows."""
+    ex = explained_notes(spark, sf_dir)
+    found = S.text_signals(F.col("patient_influences"), ("itch", "skin", "psoriasis", "plaques"))
+    return canonical(ex.select("noteId", F.explode(found).alias("feature", "impact")))
+
+
 @register("contract_check")
 def q_contract_check(spark, sf_dir):
     ex = explained_notes(spark, sf_dir).select("noteId", "patientId", "flare_probability", "flare_label")
@@ -654,19 +683,38 @@ def q_json_batch_score(spark, sf_dir):
     return _risk_cols(valid)
 
 
+def spoilt_requests(spark, sf_dir) -> DataFrame:
+    """Request rows, every tenth also with an id that is no number and again without a patient."""
+    rows = request_rows(spark, sf_dir)
+    odd = rows.where(F.col("noteId").cast("long") % 10 == 0)
+    return rows.unionByName(odd.withColumn("noteId", F.concat(F.lit("P-"), "noteId"))).unionByName(
+        odd.withColumn("patientId", F.lit("")))
+
+
 @register("json_batch_rejects")
 def q_json_batch_rejects(spark, sf_dir):
     """K8 + P18: request rows with unusable ids come back with their reasons, beside good ones."""
     from noteflare.streaming.score_stream import rejected_notes
-    rows = request_rows(spark, sf_dir)
-    odd = rows.where(F.col("noteId").cast("long") % 10 == 0)
-    spoilt = odd.withColumn("noteId", F.concat(F.lit("P-"), "noteId")).unionByName(
-        odd.withColumn("patientId", F.lit("")))
     path = IO.scratch_dir(spark, "json-rejects")
-    IO.write_note_batches(rows.unionByName(spoilt).withColumn("_shape", F.lit("object")), path)
+    IO.write_note_batches(spoilt_requests(spark, sf_dir).withColumn("_shape", F.lit("object")), path)
     return canonical(rejected_notes(IO.read_note_batch_json(spark, path)))
 
 
+@register("stream_score_and_reject")
+def q_stream_both(spark, sf_dir):
+    """T1 + K8: scores and rejects from one stream over one read; the outcome is the risk level or the reasons."""
+    from noteflare.streaming.score_stream import read_batches, start_scoring_and_reject_stream
+    src = IO.scratch_dir(spark, "both-in")
+    IO.write_note_batches(spoilt_requests(spark, sf_dir).withColumn("_shape", F.lit("object")), src)
+    _, scorer = fitted_scorer(spark, sf_dir)
+    good, bad = IO.scratch_dir(spark, "both-scores"), IO.scratch_dir(spark, "both-rejects")
+    start_scoring_and_reject_stream(spark, src, good, bad, IO.scratch_dir(spark, "both-ckpt"), scorer,
+                                    max_files_per_trigger=4).awaitTermination()
+    text = lambda c: F.col(c).cast("string").alias(c)
+    scored = read_batches(spark, good).select(text("noteId"), text("patientId"), F.col("flare_risk_level").alias("outcome"))
+    return scored.unionByName(read_batches(spark, bad).select("noteId", "patientId", F.col("reasons").alias("outcome")))
+
+
 @register("csv_roundtrip_score")
 def q_csv_roundtrip(spark, sf_dir):
     """S2 + S3: note table to CSV (multi-line quoted text) and back, then scored."""
@@ -690,7 +738,7 @@ def q_parquet_roundtrip(spark, sf_dir):
 
 @register("metrics_log")
 def q_metrics_log(spark, sf_dir):
-    """Evaluation metrics of the linear scorer appended to a metrics table."""
+    """Evaluation metrics of the linear scorer in a metrics table; the run is logged twice, as a retried job would."""
     path = IO.scratch_dir(spark, "metrics")
     test = test_predictions(spark, sf_dir)
     auc = E.roc_auc(test, "probability", label.TARGET).select(F.lit("roc_auc").alias("name"),
@@ -700,7 +748,9 @@ def q_metrics_log(spark, sf_dir):
                                          for m in ("precision", "recall", "f1")])))
     rates = test.agg(F.avg(F.col(label.TARGET).cast("double")).alias("value")).select(
         F.lit("test_positive_rate").alias("name"), "value")
-    logged = IO.append_metrics(spark, path, "run-1", auc.unionByName(rest).unionByName(rates))
+    found = auc.unionByName(rest).unionByName(rates)
+    IO.log_metrics(spark, path, "run-1", found)
+    logged = IO.log_metrics(spark, path, "run-1", found)
     return canonical(logged.select("run_id", "name", "value"))
 
 

@@ -60,7 +60,7 @@ def read_note_batch_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_note_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S2/S3 reader: header CSV, quoted fields may span lines.
+    """S2/S3 reader: header CSV, quoted fields may span lines; large files are read in several tasks.
 
     Columns are matched by header *name* (a user schema would bind them by
     position), read as text, and conformed to the request layout: absent
@@ -68,8 +68,9 @@ def read_note_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     from pyspark.sql import functions as F
 
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .option("inferSchema", False).csv(path))
+    from noteflare.sources.csv_records import read_csv
+
+    raw = read_csv(spark, path)
     present = set(raw.columns)
     fields = ["patientId", "noteId", "noteDate", *REQUEST_TEXT_FIELDS]
     cols = [F.col(f"`{f}`").cast("string").alias(f) if f in present else F.lit(None).cast("string").alias(f)
@@ -95,18 +96,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_metrics(spark: SparkSession, path: str, run_id: str, metrics: DataFrame) -> DataFrame:
-    """Append ``(run_id, name, value, logged_at)`` rows to a Parquet metrics table.
+METRICS_DDL = "name string, value double, logged_at timestamp, run_id string"
+
+
+def log_metrics(spark: SparkSession, path: str, run_id: str, metrics: DataFrame) -> DataFrame:
+    """Put ``(run_id, name, value, logged_at)`` rows into a Parquet metrics table, one folder a run.
 
-    ``metrics`` holds ``(name, value)`` rows computed by Spark; nothing passes
-    through the driver.
+    Logging a run again replaces its rows and leaves the other runs alone (dynamic partition overwrite), so a
+    rerun or a retried job never doubles them.  ``metrics`` holds ``(name, value)`` rows computed by Spark;
+    nothing passes through the driver.
     """
     from pyspark.sql import functions as F
 
-    rows = metrics.select(F.lit(run_id).alias("run_id"), F.col("name").cast("string"),
-                          F.col("value").cast("double"), F.current_timestamp().alias("logged_at"))
-    rows.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    rows = metrics.select(F.col("name").cast("string"), F.col("value").cast("double"),
+                          F.current_timestamp().alias("logged_at"), F.lit(run_id).alias("run_id"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return spark.read.schema(METRICS_DDL).parquet(path)
 
 
 def write_note_batches(notes: DataFrame, path: str, shape_col: str = "_shape") -> None:

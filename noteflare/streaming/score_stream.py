@@ -6,6 +6,10 @@ watermark or state store.  The file source tracks which files it has
 consumed in the checkpoint, so a restarted query (or a lost executor)
 resumes without double-scoring; the Parquet sink commits each batch
 atomically through its metadata log.
+
+``start_scoring_and_reject_stream`` fills two sinks from one read.  Each
+micro-batch replaces its own folder ``batch_id=N`` in both, so a batch that
+failed between the sinks and runs again neither doubles nor loses a row.
 """
 
 from __future__ import annotations
@@ -67,6 +71,34 @@ def start_reject_stream(spark: SparkSession, source_dir: str, sink_dir: str, che
     return _start(rejected_notes(notes), sink_dir, checkpoint_dir, available_now)
 
 
+def start_scoring_and_reject_stream(spark: SparkSession, source_dir: str, score_dir: str, reject_dir: str,
+                                    checkpoint_dir: str, scorer: LinearScorer, available_now: bool = True,
+                                    max_files_per_trigger: int | None = None, between=None) -> StreamingQuery:
+    """Scores and rejects of every JSON note batch, from one read of the source.
+
+    ``between(batch_id)`` runs after a batch's scores and before its rejects (a hook for tests and monitoring).
+    Read the results with :func:`read_batches`.
+    """
+    def both(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # the parsed rows serve both sinks; a lost copy is read again from the source
+        try:
+            scored_notes(batch, scorer).write.mode("overwrite").parquet(f"{score_dir}/batch_id={batch_id}")
+            if between is not None:
+                between(batch_id)
+            rejected_notes(batch).write.mode("overwrite").parquet(f"{reject_dir}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    notes = _incoming(spark, source_dir, max_files_per_trigger)
+    writer = notes.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint_dir)
+    return _trigger(writer, available_now).start()
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of one sink of :func:`start_scoring_and_reject_stream`."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
+
+
 def _incoming(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None) -> DataFrame:
     reader = spark.readStream.schema(BATCH_DDL)
     if max_files_per_trigger:
@@ -77,5 +109,8 @@ def _incoming(spark: SparkSession, source_dir: str, max_files_per_trigger: int |
 def _start(rows: DataFrame, sink_dir: str, checkpoint_dir: str, available_now: bool) -> StreamingQuery:
     writer = (rows.writeStream.format("parquet")
               .option("checkpointLocation", checkpoint_dir).outputMode("append"))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start(sink_dir)
+    return _trigger(writer, available_now).start(sink_dir)
+
+
+def _trigger(writer, available_now: bool):
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

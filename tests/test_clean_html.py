@@ -92,7 +92,7 @@ def test_open_script_and_style_run_to_the_end(spark):
     rows = [("a<script>var x = 1; if (x < 2) y()",), ("<p>b</p><style>.c{}",), ('<a title="a>b">x</a>',),
             ("5 &lt; 6 &ampx &copyright;",), ("&",), ("x" * 100_000 + "<b " + 'c="d>" ' * 2_000 + ">&deg;",)]
     df = spark.createDataFrame(rows, "h string").select(clean_html("h").alias("t"))
-    assert [r["t"] for r in df.collect()] == ["a", "b", "x", "5 < 6 &ampx &copyright;", "&", "x" * 100_000 + " °"]
+    assert [r["t"] for r in df.collect()] == ["a", "b", "x", "5 < 6 &x ©right;", "&", "x" * 100_000 + " °"]
 
 
 def test_random_fragments_match_the_parser(spark):
@@ -104,3 +104,28 @@ def test_random_fragments_match_the_parser(spark):
     got = {r["i"]: r["t"] for r in df.select("i", clean_html("h").alias("t")).collect()}
     bad = [i for i, d in enumerate(docs) if got[i] != reference_text(d)]
     assert not bad, [(docs[i], got[i], reference_text(docs[i])) for i in bad[:3]]
+
+
+def test_random_references_match_unescape(spark):
+    """Names of HTML 5 and legacy names, whole, cut short and running on; numbers of every kind."""
+    import html
+    import random
+
+    from pyspark.sql import functions as F
+
+    from noteflare.functions.text import decode_references, entity_table
+
+    rnd = random.Random(11)
+    names = sorted(html.entities.html5)
+    legacy = [n for n in names if not n.endswith(";")]
+    refs = [f"&{n}" for n in names]  # all of them
+    refs += [f"&{rnd.choice(legacy)}{rnd.choice(['x', 'it', ';', ' ', '1;', 'é', '&amp', ''])}" for _ in range(400)]
+    refs += [f"&{n[:rnd.randint(1, len(n))]}{rnd.choice(['', ';', 'q', '='])}" for n in rnd.choices(names, k=400)]
+    refs += [f"&#{rnd.choice(['', 'x', 'X'])}{rnd.choice(['', '0', '000'])}{rnd.randint(0, 200)}{rnd.choice(['', ';'])}" for _ in range(400)]
+    refs += [f"&#{n};" for n in (0, 9, 11, 13, 31, 127, 128, 129, 159, 160, 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10 ** 30)]
+    refs += ["&", "&;", "&#;", "&#x;", "&#xZ;", "& amp;", "&" + "a" * 50, "&" + "n" * 31 + ";", "&notin;", "&notit;", "&amp;lt;"]
+    texts = refs + ["a " + rnd.choice(refs) + rnd.choice(["", "b", "&lt"]) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8)
+    got = {r.i: r.x for r in df.select("i", decode_references(F.col("t"), entity_table()).alias("x")).collect()}
+    bad = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not bad, (len(bad), bad[:5])
