@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from noteflare.constants import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS
 
 
-_CHECKED: dict[tuple[str, int, int], bool] = {}
+_CHECKED: dict[tuple[str, int, int, int], bool] = {}
 
 
 def row_width(df: DataFrame) -> int:
@@ -32,14 +32,15 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     (``estimate_slack`` times; compressed files can understate memory) is
     rejected without running anything, since counting a huge fact table
     would itself scan it.  Otherwise ``limit(n + 1).count()`` proves the
-    bound exactly.  The answer is remembered per session and semantic plan,
-    so rebuilding the same dimension (every query re-derives its tables)
-    costs no new job.
+    bound exactly.  The answer is remembered per session, semantic plan and
+    size of the files behind it, so rebuilding the same dimension (every query
+    re-derives its tables) costs no new job, and one that has grown is counted again.
     """
     n = min(max_rows, max_bytes // row_width(df))
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n)
+    size = estimated_bytes(df)
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), n, size)
     if key not in _CHECKED:
-        if estimated_bytes(df) > estimate_slack * max_bytes:
+        if size > estimate_slack * max_bytes:
             _CHECKED[key] = False
         else:
             _CHECKED[key] = df.limit(n + 1).count() <= n

@@ -134,6 +134,15 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).join(next_labels(spark, sf_dir), "noteId", "inner")
 
 
+def clear_session_tables() -> None:
+    """Forget every table and fit kept for this session.
+
+    They are kept by folder name: call this after data under the same name has been rewritten.
+    """
+    for kept in (_TABLES, _MATERIALIZED, _SCORERS, _FITS):
+        kept.clear()
+
+
 # ---------------------------------------------------------------------------
 # extract (P1-P8, P19, J1-J7, A1, A2)
 # ---------------------------------------------------------------------------
@@ -637,6 +646,23 @@ def q_split_counts(spark, sf_dir):
     return ml.split_counts(r["model"], r["names"])
 
 
+@register("model_influences")
+def q_model_influences(spark, sf_dir):
+    """K2, K3, W3 on the whole model vector: a linear scorer over scaled numerics and SVD components of the labelled notes.
+
+    The five largest contributions of a note, SVD components shown as ``text_signal`` and named once.
+    """
+    from pyspark.ml.functions import vector_to_array
+    r = gbt_run(spark, sf_dir)
+    x = vector_to_array("features")
+    wide = r["data"].select("noteId", "split", label.TARGET, x.alias("x")).select(
+        "noteId", "split", label.TARGET, *[F.col("x")[i].alias(n) for i, n in enumerate(r["names"])])
+    scorer = M.fit_linear_scorer(wide.where(F.col("split") == "train"), label.TARGET, r["names"])
+    top = scorer.transform(wide).select("noteId", S.top_influences(scorer.contributions()).alias("infl"))
+    return canonical(top.select("noteId", F.posexplode("infl").alias("position", "i")).select(
+        "noteId", "position", "i.feature", "i.impact", "i.direction"))
+
+
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Save the bundle as a new version, load the latest complete one, score the test fold's raw notes with it."""

@@ -146,18 +146,58 @@ def read_table_jdbc(spark: SparkSession, url: str, table: str, partition_column:
     return spark.read.jdbc(url, table, properties=props)
 
 
+def range_predicates(keys: DataFrame, column: str, num_partitions: int, accuracy: int = 10_000) -> list[str]:
+    """At most ``num_partitions`` + 1 SQL predicates that split a table by ``column`` into parts of like size.
+
+    Bounds are approximate quantiles of the column itself (one aggregate, ``num_partitions`` numbers come
+    back), so skewed keys get narrow ranges and no caller has to know a minimum or maximum.  The predicates are
+    disjoint and cover every row: the outer ranges are open, and null keys have a predicate of their own.  A value
+    that holds more than a part's share is one range.  Text keys are cut at quantiles of a sample of their values.
+    """
+    from pyspark.sql import functions as F
+
+    shares = [i / num_partitions for i in range(1, num_partitions)]
+    kind = keys.schema[column].dataType.typeName()
+    c = F.col(f"`{column}`")
+    if kind == "string":
+        values = keys.where(c.isNotNull()).select(c.alias("v")).orderBy(F.xxhash64("v")).limit(accuracy)
+        sample = sorted(r["v"] for r in values.collect())  # at most ``accuracy`` values
+        found = [sample[int(s * len(sample))] for s in shares] if sample else []
+    else:
+        found = (keys.agg(F.percentile_approx(c, shares, accuracy).alias("q")).first()["q"] or []) if shares else []
+
+    def literal(v) -> str:
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else f"'{v}'" if hasattr(v, "isoformat") else str(v)
+
+    bounds = [literal(v) for v in dict.fromkeys(found)]
+    out = [f"{column} IS NULL"]
+    if not bounds:
+        return [*out, f"{column} IS NOT NULL"]
+    out.append(f"{column} < {bounds[0]}")
+    out += [f"{column} >= {lo} AND {column} < {hi}" for lo, hi in zip(bounds, bounds[1:])]
+    return [*out, f"{column} >= {bounds[-1]}"]
+
+
+def read_table_split(spark: SparkSession, url: str, table: str, column: str, num_partitions: int,
+                     properties: dict | None = None) -> DataFrame:
+    """A relational table read in parallel by quantile ranges of ``column``, without bounds from the caller.
+
+    The quantiles take one read of the key column alone.
+    """
+    props = dict(properties or {})
+    keys = spark.read.jdbc(url, f"(SELECT {column} FROM {table}) k", properties=props)
+    return spark.read.jdbc(url, table, predicates=range_predicates(keys, column, num_partitions), properties=props)
+
+
 def load_source_tables(spark: SparkSession, url: str, properties: dict | None = None,
-                       num_partitions: int = 64, bounds: dict[str, tuple[int, int]] | None = None
-                       ) -> dict[str, DataFrame]:
-    """The seven clinical source tables over JDBC, the large ones range-partitioned by note id."""
-    bounds = bounds or {}
+                       num_partitions: int = 64) -> dict[str, DataFrame]:
+    """The seven clinical source tables over JDBC, the large ones split by quantiles of the note id."""
     big = {"progressNotes": "noteId", "newProgressNotes": "noteId", "pnAssessment": "noteId"}
     out = {}
     for name in ("progressNotes", "newProgressNotes", "pnAssessment", "diagnosis", "diagnosisCodes",
                  "providers", "placeOfService"):
-        if name in big and name in bounds:
-            lo, hi = bounds[name]
-            out[name] = read_table_jdbc(spark, url, name, big[name], lo, hi, num_partitions, properties)
+        if name in big:
+            out[name] = read_table_split(spark, url, name, big[name], num_partitions, properties)
         else:
             out[name] = read_table_jdbc(spark, url, name, properties=properties)
     return out

@@ -182,3 +182,37 @@ def test_importances_written_and_read_back(spark, run):
     want = ml.feature_importance(run["model"], run["names"], top=20).collect()
     assert 0 < len(imp) <= 20 and [tuple(r) for r in imp] == [tuple(r) for r in want]
     assert len(Q.QUERIES["svd_project"](spark, SF).first()["svd"]) == run["svd"].k
+
+
+def test_influences_over_the_whole_vector(spark, run):
+    """The five largest by size, then SVD components as text_signal, then each name once, against brute force."""
+    from noteflare.operators import model as M
+    x, names = vector_to_array("features"), run["names"]
+    wide = run["data"].select("noteId", "split", "flare_label_next", x.alias("x")).select(
+        "noteId", "split", "flare_label_next", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    scorer = M.fit_linear_scorer(wide.where("split = 'train'"), "flare_label_next", names)
+    got = {}
+    for r in Q.QUERIES["model_influences"](spark, SF).orderBy("noteId", "position").collect():
+        got.setdefault(r.noteId, []).append((r.feature, r.impact))
+    seen_text = 0
+    for r in scorer.transform(wide).select("noteId", scorer.contributions().alias("c")).collect():
+        ranked = sorted(((abs(s.impact), i, s) for i, s in enumerate(r.c)), key=lambda t: (-t[0], -t[1]))[:5]
+        want = []
+        for _, _, s in ranked:
+            name = "text_signal" if s.feature.startswith("svd_") else s.feature
+            if name not in [n for n, _ in want]:
+                want.append((name, round(s.impact, 4)))
+        seen_text += any(n == "text_signal" for n, _ in want)
+        assert [n for n, _ in got[r.noteId]] == [n for n, _ in want]
+        assert all(abs(a - b) < 1.1e-4 for (_, a), (_, b) in zip(got[r.noteId], want))
+    assert seen_text > 0
+
+
+def test_kept_tables_can_be_forgotten(spark):
+    first = Q.tables(spark, SF)
+    assert Q.tables(spark, SF) is first
+    kept = dict(Q._TABLES), dict(Q._MATERIALIZED), dict(Q._SCORERS), dict(Q._FITS)
+    Q.clear_session_tables()
+    assert Q.tables(spark, SF) is not first
+    for now, before in zip((Q._TABLES, Q._MATERIALIZED, Q._SCORERS, Q._FITS), kept):
+        now.update(before)

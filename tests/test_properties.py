@@ -98,3 +98,49 @@ def test_tfidf_vectors_equal_long_form(spark):
         want = long.get(r["doc_id"], {})
         assert got.keys() == want.keys()
         assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+
+
+def test_roc_curve_is_the_same_curve_in_fewer_rows(spark):
+    """Against a brute-force removal of collinear points; same area; any number of ranges."""
+    import random
+
+    from noteflare.operators import evaluate as E
+    rnd = random.Random(9)
+    rows = [(round(rnd.random(), 2), int(rnd.random() < 0.3)) for _ in range(3000)]
+    rows += [(2 + i, 1) for i in range(500)] + [(-2.0 - i, i % 2) for i in range(100)]
+    df = spark.createDataFrame([(float(a), b) for a, b in rows], "score double, y int").cache()
+    full = sorted((r.fp, r.tp) for r in E.roc_points(df, "score", "y").collect())
+    want = [p for i, p in enumerate(full) if i in (0, len(full) - 1) or
+            (p[0] - full[i - 1][0]) * (full[i + 1][1] - p[1]) != (p[1] - full[i - 1][1]) * (full[i + 1][0] - p[0])]
+    for n in (None, 1, 7, 40):
+        got = sorted((r.fp, r.tp) for r in E.roc_curve(df, "score", "y", n).collect())
+        assert got == want and len(got) < len(full) / 2
+    area = lambda ps: sum((b[0] - a[0]) * (a[1] + b[1]) for a, b in zip(ps, ps[1:]))
+    assert area(want) == area(full)
+    assert E.roc_curve(df.limit(0), "score", "y").count() == 0
+
+
+def test_patient_records_number_their_parts(spark):
+    """A patient with a third of all notes gets many parts; ranks run through them."""
+    from noteflare.operators import scoring as S
+    n = 3000
+    notes = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("patientId"), F.col("id").alias("noteId"),
+        F.when(F.col("id") % 7 == 0, None).otherwise(F.timestamp_seconds(F.col("id") % 50)).alias("noteDate"),
+        F.round((F.col("id") * 37 % 100) / 100, 3).alias("flare_probability"), F.lit(1).alias("flare_label"),
+        F.lit("Low").alias("flare_risk_level"), F.array().cast("array<string>").alias("patient_influences"),
+        F.map_from_arrays(F.array(F.lit("k")), F.array(F.lit(1.0))).alias("text_signals"))
+    for ranges in (1, 5):
+        rows = S.patient_records(notes, max_notes=100, n_ranges=ranges).collect()
+        assert sum(len(r.risky_notes) for r in rows) == n and max(len(r.risky_notes) for r in rows) <= 100
+        hot = sorted((r for r in rows if r.patientId == -1), key=lambda r: r.part)
+        assert [r.part for r in hot] == [*range(1, hot[0].parts + 1)] and len(hot) >= 10
+        flat = [x for r in hot for x in r.risky_notes]
+        order = lambda x: (-x.flare_probability, x.noteDate is None, str(x.noteDate), x.noteId)
+        assert flat == sorted(flat, key=order) and len(flat) == n // 3
+        at = 1
+        for r in hot:
+            assert r.first_rank == at and r.total_notes == n // 3
+            at += len(r.risky_notes)
+    single = S.patient_records(notes.limit(0))
+    assert single.count() == 0

@@ -47,3 +47,31 @@ def test_bad_rows_never_fail_or_get_scored(spark):
     assert got == [("", "", "noteId not a number; patientId not a number"), ("3", "", "patientId not a number"),
                    ("P-7", "2", "noteId not a number"), ("x", "y", "noteId not a number; patientId not a number")]
     assert rejected_notes(IO.read_note_batch_json(spark, src)).count() == 4
+
+
+def test_a_batch_that_fails_between_the_sinks_is_neither_doubled_nor_lost(spark):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    from noteflare.streaming.score_stream import read_batches, start_scoring_and_reject_stream
+    scorer = LinearScorer(tuple(SAFE_NUMERIC_COLS), {c: 0.2 for c in SAFE_NUMERIC_COLS}, -1.0,
+                          {c: 0.0 for c in SAFE_NUMERIC_COLS})
+    src, good, bad, ckpt = (IO.scratch_dir(spark, f"t-both-{x}") for x in ("src", "good", "bad", "ckpt"))
+    lines = [f'{{"noteId": "{i if i % 3 else "x"}", "patientId": "{i}"}}' for i in range(60)]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(6).write.text(src)
+    calls = []
+
+    def fail_once(batch_id):
+        calls.append(batch_id)
+        if batch_id == 1 and calls.count(1) == 1:
+            raise RuntimeError("lost between the sinks")
+
+    start = lambda: start_scoring_and_reject_stream(spark, src, good, bad, ckpt, scorer, max_files_per_trigger=2,
+                                                    between=fail_once)
+    with pytest.raises(StreamingQueryException):
+        start().awaitTermination()
+    assert read_batches(spark, good).count() + read_batches(spark, bad).count() < 60
+    start().awaitTermination()
+    assert calls.count(1) == 2 and calls.count(0) == 1
+    assert sorted(r.noteId for r in read_batches(spark, good).collect()) == [i for i in range(60) if i % 3]
+    assert sorted(int(r.patientId) for r in read_batches(spark, bad).collect()) == [i for i in range(60) if i % 3 == 0]
