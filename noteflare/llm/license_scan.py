@@ -13,6 +13,12 @@ that overlap by half, so every block is in one; a survivor is verified by slidin
 its window.  Short
 phrases are templates that need all their words, then verified to stand
 consecutively anywhere in the text.
+
+Licenses share most of their wording, so a block must also hold the words that name its license (a "GNU" notice
+is none of Apache's, however alike), and a template under ``SHORT`` different words needs all of them within twice
+its length: 80 % of seven words tells nothing apart.  Where a window meets a template and another that holds the
+words naming the first and is named by words the first lacks (CC BY and CC BY-SA, GPL and LGPL), the other is
+the closer one and stands alone.
 """
 
 from __future__ import annotations
@@ -29,24 +35,55 @@ from noteflare.llm.common import arrow_stage, with_fields
 
 THRESHOLD = 0.8
 BLOCK_WORDS = 128
+SHORT = 20
 
 # --- FIXED VALUES: phrases and the public wording of short license notices ---
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-TEMPLATES = (
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files (the Software), to deal in the Software without restriction"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
-               "compliance with the License"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-            "General Public License as published by the Free Software Foundation"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-            "that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+TEMPLATES = (  # label, the words that name it, notice
+    ("mit", "deal restriction", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     "associated documentation files (the Software), to deal in the Software without restriction"),
+    ("apache", "apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+     "compliance with the License"),
+    ("apache", "apache", "Licensed under the Apache License, Version 2.0"),
+    ("gpl", "gnu general", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "General Public License as published by the Free Software Foundation"),
+    ("gpl", "gnu general", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl", "gnu general", "Licensed under the GNU General Public License, version 2"),
+    ("lgpl", "lesser", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+     "Lesser General Public License as published by the Free Software Foundation"),
+    ("lgpl", "lesser", "Licensed under the GNU Lesser General Public License"),
+    ("agpl", "affero", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+     "Affero General Public License as published by the Free Software Foundation"),
+    ("agpl", "affero", "Licensed under the GNU Affero General Public License"),
+    ("bsd", "redistribution binary", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+     "provided that the following conditions are met"),
+    ("isc", "fee copies", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsl", "organization covered", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the "
+     "software and accompanying documentation covered by this license"),
+    ("zlib", "express implied", "This software is provided as-is, without any express or implied warranty. In no event will the authors "
+     "be held liable for any damages arising from the use of this software"),
+    ("mpl", "mozilla", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "mozilla", "Licensed under the Mozilla Public License, version 2.0"),
+    ("epl", "eclipse", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0 which is available at"),
+    ("cc-by", "attribution", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "sharealike", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc", "noncommercial", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd", "noderivatives", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "noncommercial sharealike",
+     "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "noncommercial noderivatives",
+     "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by", "cc by", "Licensed under CC BY 4.0"),
+    ("cc-by-sa", "cc sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "cc nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "cc nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "cc nc sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "cc nc nd", "Licensed under CC BY-NC-ND 4.0"),
+    ("cc0", "waived", "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+     "to this work"),
+    ("unlicense", "unencumbered", "This is free and unencumbered software released into the public domain"),
 )
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -63,8 +100,8 @@ def _windows(words: list[bytes], size: int):
         yield words[a:a + 2 * size]
 
 
-def _densest(words: list[bytes], tokens: frozenset, size: int) -> int:
-    """The most different ``tokens`` in any run of ``size`` words."""
+def _densest(words: list[bytes], tokens: frozenset, size: int, names: frozenset = frozenset()) -> int:
+    """The most different ``tokens`` in any run of ``size`` words that holds all ``names`` (a part of the tokens)."""
     at = [(i, w) for i, w in enumerate(words) if w in tokens]
     held, best, a = Counter(), 0, 0
     for i, w in at:
@@ -75,7 +112,8 @@ def _densest(words: list[bytes], tokens: frozenset, size: int) -> int:
             if not held[gone]:
                 del held[gone]
             a += 1
-        best = max(best, len(held))
+        if len(held) > best and names <= held.keys():
+            best = len(held)
     return best
 
 
@@ -85,7 +123,7 @@ class Index:
     def __init__(self, document_counts: dict[bytes, int], phrases=PHRASES, templates=TEMPLATES,
                  threshold: float = THRESHOLD):
         rank = lambda w: (document_counts.get(w, 0), w)
-        self.tokens = sorted({w for _, t in templates for w in words_of(t)} | {w for t, _ in phrases for w in words_of(t)},
+        self.tokens = sorted({w for *_, t in templates for w in words_of(t)} | {w for t, _ in phrases for w in words_of(t)},
                              key=rank)
         self.place = {w: i for i, w in enumerate(self.tokens)}
         self.phrases = []
@@ -94,32 +132,39 @@ class Index:
             rarest = min(words, key=rank)
             self.phrases.append((label, words, rarest, words.index(rarest)))
         self.templates, self.prefix = [], {}
-        self.block_words = max([BLOCK_WORDS, *[len(words_of(t)) for _, t in templates]])
-        for label, text in templates:
+        self.block_words = max([BLOCK_WORDS, *[2 * len(words_of(t)) for *_, t in templates]])
+        for label, names, text in templates:
             ordered = sorted(set(words_of(text)), key=self.place.get)
-            need = math.ceil(threshold * len(ordered) - 1e-9)
+            short = len(ordered) < SHORT
+            need = len(ordered) if short else math.ceil(threshold * len(ordered) - 1e-9)
+            size = 2 * len(words_of(text)) if short else self.block_words
             for i, w in enumerate(ordered[: len(ordered) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates), i))
-            self.templates.append((label, ordered, frozenset(ordered), need))
+            self.templates.append((label, ordered, frozenset(ordered), need, size, frozenset(words_of(names))))
 
     def window(self, words: list[bytes]):
-        """(label, containment) of the templates that a block of the window meets."""
+        """(label, containment) of the closest templates that a block of the window meets."""
         mine = sorted({w for w in words if w in self.place}, key=self.place.get)
-        seen = set()
+        seen, met = set(), {}
         for j, w in enumerate(mine):
             for t, i in self.prefix.get(w, ()):
-                label, ordered, tokens, need = self.templates[t]
+                label, ordered, tokens, need, size, names = self.templates[t]
                 if t in seen or len(mine) < need:  # length filter
                     continue
                 seen.add(t)
                 # the first hit of a template is its rarest token here: nothing before it is shared
                 if min(len(ordered) - i, len(mine) - j) < need:  # positional filter
                     continue
-                shared = len(tokens.intersection(mine))
-                if shared >= need and len(words) > self.block_words:
-                    shared = _densest(words, tokens, self.block_words)
+                if not names.issubset(mine) or len(tokens.intersection(mine)) < need:
+                    continue
+                shared = _densest(words, tokens, size, names)
                 if shared >= need:
-                    yield label, shared / len(ordered)
+                    met[t] = shared / len(ordered)
+        for t, share in met.items():
+            *_, tokens, _, _, names = self.templates[t]
+            closer = [u for u in met if names <= self.templates[u][2] and not self.templates[u][5] <= tokens]
+            if not closer:
+                yield self.templates[t][0], share
 
     def scan(self, text: str | None):
         """(n_words, [(start, label)], {labels of the method}, score) of one text."""
@@ -164,11 +209,11 @@ def scan(docs: DataFrame, text_col: str = "text", phrases=PHRASES, templates=TEM
     their smallest and largest word offsets, null without any.  Label lists are
     distinct, sorted and comma-joined, empty without any; ``labels`` has the
     phrases' and the templates'.  ``score`` is the best containment (1 for a phrase).  Null
-    and empty texts have no words.  Input columns of those names are replaced;
+    and empty texts have no words.  Input columns of those names (in any case) are replaced;
     an empty table gives an empty result.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    src = docs.select(*[c for c in docs.columns if c not in added])
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     index = Index(document_counts(src, text_col, Index({}, phrases, templates, threshold).tokens),
                   phrases, templates, threshold)
     at, names = src.columns.index(text_col), [*src.columns, *added]
