@@ -45,6 +45,8 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open = []      # (tag, furniture?, article number, region number)
+        self.places = {}    # places in ``open`` by tag
+        self.blocks = []    # places in ``open`` of elements that are no inline ones
         self.lines = []     # finished: (text, tags, furniture?, article, region)
         self.pieces, self.tags = [], 0
         self.regions = 0
@@ -87,6 +89,9 @@ class _Lines(HTMLParser):
                     own = True
         if own and tag in INLINE:
             self._flush()
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks.append(len(self.open))
         self.open.append((tag, furniture or own, article, region))
 
     def handle_startendtag(self, tag, attrs):
@@ -96,15 +101,19 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
-        depth = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if depth is None:
+        if not self.places.get(tag):  # nothing of this name is open
             return
+        depth = self.places[tag][-1]
         # An unclosed inline tag ends with its block; an inline end tag never closes a block.
-        if tag in INLINE and any(t[0] not in INLINE for t in self.open[depth + 1:]):
+        if tag in INLINE and self.blocks and self.blocks[-1] > depth:
             return
         if tag not in INLINE or self.open[depth][1] != (self.open[depth - 1][1] if depth else False):
             self._flush()
-        del self.open[depth:]
+        while len(self.open) > depth:  # every element is closed once, so a page costs its number of tags
+            gone = self.open.pop()[0]
+            self.places[gone].pop()
+            if gone not in INLINE:
+                self.blocks.pop()
 
     def handle_data(self, data):
         self.pieces.append(data)

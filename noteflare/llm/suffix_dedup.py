@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noteflare.llm.common import arrow_stage, drop_scratch, scratch_table, with_fields
+from noteflare.operators.joins import dimension
 
 LENGTH = 200
 CUT = 17
@@ -274,23 +275,33 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     assert length >= 4 * CUT
     added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256", "kept_text"]
-    src = docs.select(*[c for c in docs.columns if c not in added])
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     # A row is known by its id and text, so that reruns of a lost task agree; equal rows share one key.
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    found = (repeated_starts(src.select(key.alias("row"), F.col(text_col).alias("text")), length).groupBy("row")
+    # All strings of a row that comes again start elsewhere too.  One of its copies stands for all in the search, and
+    # none carries a list of ranges: the copies cost their number, not its square.
+    again = scratch_table(src.groupBy(key.alias("_sa_again")).count().where("count > 1").select("_sa_again"), "suffix-equal-rows")
+    again = dimension(again)
+    texts = src.select(key.alias("row"), F.col(text_col).alias("text"))
+    same = F.col("row") == F.col("_sa_again")
+    once = texts.join(again, same, "left_anti").unionByName(texts.join(again, same, "left_semi").dropDuplicates(["row"]))
+    found = (repeated_starts(once, length).join(again, same, "left_anti").groupBy("row")
              .agg(F.collect_list("first").alias("_sa_firsts"), F.collect_list("last").alias("_sa_lasts")))
     whole = src.withColumn("_sa_row", key).join(found.withColumnRenamed("row", "_sa_row"), "_sa_row", "left")
-    at = [whole.columns.index(c) for c in (text_col, "_sa_firsts", "_sa_lasts")]
+    whole = whole.join(again, F.col("_sa_row") == F.col("_sa_again"), "left")
+    at = [whole.columns.index(c) for c in (text_col, "_sa_firsts", "_sa_lasts", "_sa_again")]
     out_cols = list(src.columns)
     keep_at = [whole.columns.index(c) for c in out_cols]
 
     def finish(batches):
         for b in batches:
             res = {c: [] for c in added}
-            for text, firsts, lasts in zip(*[b.column(i) for i in at]):
+            for text, firsts, lasts, twin in zip(*[b.column(i) for i in at]):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 spans = np.empty((0, 2), np.int64)
-                if firsts.is_valid:
+                if twin.is_valid and len(raw) >= length:
+                    spans = np.array([[0, len(raw)]], np.int64)
+                elif firsts.is_valid:
                     spans = _spans(firsts.values.to_numpy(), lasts.values.to_numpy(), length, len(raw))
                 edges = [0, *spans.reshape(-1).tolist(), len(raw)]
                 kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2]))
