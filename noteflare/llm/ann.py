@@ -3,7 +3,8 @@
 Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash, so a shard's graph has the
 same size whatever the corpus.  A shard's graph is a few flat arrays: vectors, node levels and,
 for each level, a neighbour table padded with -1.  They are one row of the index table.
-Queries travel in blocks; every block meets every shard's graph once, and the shards'
+A shard is sent to one task, once, followed by the blocks of queries that stream past it: what travels are
+queries, a few hundred KB a block and shard, never copies of a graph.  The shards'
 answers are merged by a ranking per query.
 
 Equal vectors are one node that carries its smallest ids, as many as can
@@ -154,9 +155,14 @@ def search_graph(vectors: np.ndarray, members: list, tables: list, queries: np.n
     return found
 
 
+def shard_counts(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """(dim, shards): one row a vector length."""
+    return reps.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+
+
 def build_index(reps: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(dim, shard, ids, vectors, members, tables): one row a shard, from (id, vec, dim) of distinct vectors."""
-    sizes = reps.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    sizes = shard_counts(reps, shard_rows)
     dealt = reps.join(F.broadcast(sizes), "dim").withColumn("shard", F.pmod(F.xxhash64("id"), "shards"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,22 +197,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     index = scratch_table(build_index(reps.select("id", "vec", "dim"), shard_rows), "ann-index")
 
     asked = usable(queries, id_col, vec_col).distinct()
-    blocks = F.ceil(F.lit(asked.count() + 1) / BLOCK_QUERIES)
+    blocks = F.ceil(F.lit(asked.count() + 1) / BLOCK_QUERIES).cast("long")
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
     packed = scratch_table(dealt.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "vec")).alias("q")), "ann-queries")
-    # Each block meets each shard of its dimension: a join on the dimension, block by block.
-    work = (index.join(packed, "dim").select("ids", "vectors", "members", "tables", "q.id", "q.vec", "dim")
-            .repartition(F.xxhash64("ids", "id")))
+    # A row a block and shard, by the number of shards alone; each shard's row comes before its blocks.
+    sizes = F.broadcast(shard_counts(reps, shard_rows))  # one row a vector length
+    sent = packed.join(sizes, "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"),
+                                            "block", "q.id", "q.vec")
+    work = (index.withColumn("block", F.lit(-1).cast("long")).unionByName(sent, allowMissingColumns=True)
+            .repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dim", "shard")
+            .sortWithinPartitions("dim", "shard", "block"))
 
     def search(batches):
+        shard, key = None, None
         for b in batches:
-            for r in b.to_pylist():
-                v = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
-                ids = np.frombuffer(r["ids"], np.int64)
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["block"] == -1:
+                    key = r["dim"], r["shard"]
+                    v = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
+                    members = [np.frombuffer(m, np.int32) for m in r["members"]]
+                    tables = [np.frombuffer(t, np.int32).reshape(len(m), -1) for m, t in zip(members, r["tables"])]
+                    shard = v, np.frombuffer(r["ids"], np.int64), v.astype(np.float32), members, tables
+                    continue
+                assert key == (r["dim"], r["shard"])
+                v, ids, near_v, members, tables = shard
                 asked_v = np.array(r["vec"], np.float64)
-                hits = search_graph(v.astype(np.float32), [np.frombuffer(m, np.int32) for m in r["members"]],
-                                    [np.frombuffer(t, np.int32).reshape(len(m) // 4, -1)
-                                     for m, t in zip(r["members"], r["tables"])], asked_v.astype(np.float32), beam)
+                hits = search_graph(near_v, members, tables, asked_v.astype(np.float32), beam)
                 exact = np.empty(hits.shape)
                 for a in range(0, len(hits), 64):
                     exact[a:a + 64] = np.einsum("qd,qmd->qm", asked_v[a:a + 64], v[np.maximum(hits[a:a + 64], 0)])
