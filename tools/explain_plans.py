@@ -16,8 +16,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from noteflare.plans import queries as Q  # noqa: E402
 from noteflare.session import build_local  # noqa: E402
 
-NAMES = ("note_base", "note_features", "next_flare_label", "doc_tfidf", "word_freq", "roc_auc",
-         "patient_rollup", "risky_notes")
+NAMES = ("note_base", "note_features", "next_flare_label", "doc_vocab", "doc_tfidf", "note_tfidf", "word_freq",
+         "csv_roundtrip_score", "roc_auc", "roc_curve", "patient_rollup", "risky_notes", "patient_records")
 
 
 def compact(plan: str, width: int = 220) -> str:
