@@ -43,6 +43,19 @@ def drop_scratch(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def two_hashes(*parts) -> F.Column:
+    """struct<h1, h2>: two 64-bit hashes with different seeds, for rows known by their content."""
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the frame has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text) -> F.Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; null counts as no word."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noteflare.llm.common import arrow_stage, scratch_table, with_fields
+from noteflare.llm.common import arrow_stage, scratch_table, two_hashes, unused, with_fields
 from noteflare.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -237,11 +237,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The row with the smallest id, rows without an id last; among rows of one id (or
     none) the one with the smallest hash of all columns (but maps).  Of wholly equal rows one is kept.
     """
-    hashed = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.withColumn("_row", F.xxhash64(*hashed, *[c.isNull() for c in hashed]))
-    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_row").alias("row"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = unused(docs, "_row")
+    kept_row = unused(docs, "_kept_row")
+    rows = docs.withColumn(row, two_hashes(*hashed, *[c.isNull() for c in hashed]))
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(row).alias("row"))
     fps = scratch_table(_printed(src, SHINGLE_WORDS), "simhash")
     rooted = _rooted(fps, F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "row")), MAX_BITS)
-    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_kept"))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias(kept_row))
     # Equal rows first: they meet before the shuffle that the join uses again.
-    return rows.dropDuplicates(["_row"]).join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    return rows.dropDuplicates([row]).join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
