@@ -18,6 +18,8 @@ import operator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from noteflare.llm.common import two_hashes
+
 SYSTEM_ROLES = ("system",)
 UNNAMED = "unknown"
 END = "<|end|>\n"
@@ -39,20 +41,24 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     one conversation.  A conversation with system rows only has no perspective
     and gives no row.  Other columns are ignored; an empty table gives an empty result.
     """
-    said = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
+    base = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
                         F.coalesce(role_col, F.lit(UNNAMED)).alias("speaker"),
-                        F.coalesce(text_col, F.lit("")).alias("text")).distinct()
+                        F.coalesce(text_col, F.lit("")).alias("text"))
+    base = base.withColumn("row", two_hashes("conv", F.isnull("conv"), "turn", F.isnull("turn"), "speaker", "text"))
+    # Windows and joins move lengths only; a text is shuffled once, by its row, and meets its places at the end.
+    texts = base.groupBy("row").agg(F.first("text").alias("text"))
+    tie = F.md5(F.concat_ws("\n", "speaker", "text").cast("binary"))
+    said = base.select("conv", "turn", "speaker", "row", tie.alias("tie"),
+                       F.length("text").alias("n_text")).dropDuplicates(["row"])
     people = (said.where(~F.col("speaker").isin(*system_roles)).select(F.col("conv").alias("of"), "speaker").distinct()
               .select("of", F.col("speaker").alias("participant")))
     own = F.col("speaker") == F.col("participant")
     head = (F.when(own, F.lit("<|assistant|>\n")).when(F.col("speaker").isin(*system_roles), F.lit("<|system|>\n"))
             .otherwise(F.concat(F.lit("<|user "), "speaker", F.lit("|>\n"))))
-    tie = F.md5(F.concat_ws("\n", "speaker", "text").cast("binary"))
     rows = (said.join(people, F.col("conv").eqNullSafe(F.col("of"))).drop("of")
-            .withColumns({"head": head, "own": own, "tie": tie})
-            .withColumn("rendered", F.concat("head", "text", F.lit(END)))
-            .withColumns({"part": F.substring("tie", 1, 2), "size": F.length("rendered").cast("long"),
-                           "block": F.floor(F.col("turn") / BLOCK_TURNS)}))
+            .withColumns({"head": head, "own": own})
+            .withColumns({"part": F.substring("tie", 1, 2), "block": F.floor(F.col("turn") / BLOCK_TURNS),
+                          "size": (F.length("head") + F.col("n_text") + len(END)).cast("long")}))
     of = ["conv", "participant"]
     inner = Window.partitionBy(*of, "block", "turn", "part").orderBy("tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_part", F.coalesce(F.sum("size").over(inner), F.lit(0)))
@@ -67,10 +73,11 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         placed = placed.join(begins, functools.reduce(operator.and_, same)).drop(*["p_" + c for c in keys])
     start = F.col("in_text") + F.col("in_block") + F.col("in_part")
     words_at = start + F.length("head")
-    return placed.select(
-        F.col("conv").alias(conv_col), "participant", F.col("turn").alias(turn_col), "speaker", "rendered",
+    return placed.join(texts, "row").select(
+        F.col("conv").alias(conv_col), "participant", F.col("turn").alias(turn_col), "speaker",
+        F.concat("head", "text", F.lit(END)).alias("rendered"),
         start.alias("start"), F.when(F.col("own"), words_at).alias("mask_start"),
-        F.when(F.col("own"), words_at + F.length("text")).alias("mask_end"), F.col("own").alias("trained"))
+        F.when(F.col("own"), words_at + F.col("n_text")).alias("mask_end"), F.col("own").alias("trained"))
 
 
 ORACLE_SQL = """
