@@ -72,12 +72,14 @@ def decode_reference(ref: Column, entities: Mapping[str, str], more: Mapping[str
             .when(hexa, F.conv(digits, 16, 10).try_cast("int")).otherwise(digits.try_cast("int")))
     code = F.coalesce(code, F.lit(0x110000))
     odd = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
-    no_text = (code.between(1, 8) | (code == 11) | code.between(14, 31) | (code == 127) | code.between(0xFDD0, 0xFDEF)
-               | (code.bitwiseAND(0xFFFE) == 0xFFFE))
-    char = (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-            .when(code.between(128, 159), F.try_element_at(_literal_map(odd), code.cast("string")))
-            .when(no_text, F.lit(""))
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+    no_text = lambda n: (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+                         | (n.bitwiseAND(0xFFFE) == 0xFFFE))
+    # The lambda names the number, which is needed many times.
+    char = F.transform(F.array(code), lambda n: (
+        F.when((n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when(n.between(128, 159), F.try_element_at(_literal_map(odd), n.cast("string")))
+        .when(no_text(n), F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))))[0]
     name = F.substr(ref, F.lit(2))
     prefix = F.regexp_extract(ref, _legacy_prefix(entities), 1)
     run_on = F.concat(F.try_element_at(_literal_map(entities), prefix), F.substr(name, F.length(prefix) + 1))
