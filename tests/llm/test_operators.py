@@ -372,4 +372,4 @@ def test_pipeline(spark):
             assert decontaminate.containment(out, bench).count() == 0
         seen = out
     assert seen.where("taken <= 0").count() == 0 and seen.count() > 0
-    assert len([n for n in E.queries() if re.match(r"op\d+_", n)]) == 10 and "pipeline" in E.queries()
+    assert len([n for n in E.queries() if re.match(r"op\d+_", n)]) == 13 and "pipeline" in E.queries()
