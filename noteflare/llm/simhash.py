@@ -238,12 +238,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     none) the one with the smallest hash of all columns (but maps).  Of wholly equal rows one is kept.
     """
     hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    row = unused(docs, "_row")
-    kept_row = unused(docs, "_kept_row")
-    rows = docs.withColumn(row, two_hashes(*hashed, *[c.isNull() for c in hashed]))
-    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(row).alias("row"))
+    keys, kept_keys = [unused(docs, "_row_1"), unused(docs, "_row_2")], [unused(docs, "_kept_1"), unused(docs, "_kept_2")]
+    row = two_hashes(*hashed, *[c.isNull() for c in hashed])
+    rows = docs.withColumns({keys[0]: row["h1"], keys[1]: row["h2"]})
+    src = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keys).alias("row"))
     fps = scratch_table(_printed(src, SHINGLE_WORDS), "simhash")
     rooted = _rooted(fps, F.min(F.struct(F.col("id").isNull().alias("lost"), "id", "row")), MAX_BITS)
-    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias(kept_row))
+    kept = rooted.groupBy("root").agg(F.min("low").alias("low")).select(
+        *[F.col("low.row")[k].alias(name) for k, name in zip(keys, kept_keys)])
     # Equal rows first: they meet before the shuffle that the join uses again.
-    return rows.dropDuplicates([row]).join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
+    same = [F.col(k) == F.col(name) for k, name in zip(keys, kept_keys)]
+    return rows.dropDuplicates(keys).join(kept, same, "left_semi").drop(*keys)
