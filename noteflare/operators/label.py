@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noteflare.constants import LEAK_COLS, SPLIT_SEED, TEST_FRACTION
-from noteflare.operators.joins import bounded
+from noteflare.operators.joins import bounded, note_sized
 
 TARGET = "flare_label_next"
 
@@ -65,7 +65,7 @@ def _labels(df: DataFrame, label: str, target: str, key: str | list[str]) -> Dat
     days = base.groupBy("patientId", "_day").agg(
         F.min_by(F.col(label), F.struct(F.col("noteDate"), *[F.col(k) for k in order_keys])).alias("_first"))
     by_day = Window.partitionBy("patientId").orderBy(F.col("_day").asc_nulls_last())
-    nxt_day = days.select("patientId", "_day", F.lead("_first", 1).over(by_day).alias("_next_day_first"))
+    nxt_day = note_sized(days.select("patientId", "_day", F.lead("_first", 1).over(by_day).alias("_next_day_first")))
     # NULL days never equal in a join key, so undated notes are matched null-safely.
     on = (lvl1["patientId"] == nxt_day["patientId"]) & lvl1["_day"].eqNullSafe(nxt_day["_day"])
     joined = lvl1.join(nxt_day, on, "left")

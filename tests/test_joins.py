@@ -26,3 +26,31 @@ def test_byte_bound_limits_rows(spark):
     assert row_width(wide) > 20 * 20
     assert not fits_broadcast(wide, max_rows=10 ** 6, max_bytes=row_width(wide) * 999)
     assert fits_broadcast(wide, max_rows=10 ** 6, max_bytes=row_width(wide) * 1000)
+
+
+def test_labelled_notes_are_not_broadcast(spark, monkeypatch):
+    """Kept tables look small on disk: neither the features nor the labels may be sent to the driver whole."""
+    from noteflare.plans import queries as Q
+    from noteflare.session import materialize
+
+    feats = materialize(spark.range(5000).selectExpr("id as noteId", "id % 7 as patientId", "true as itch_present"), "feats")
+    labels = materialize(spark.range(0, 5000, 2).selectExpr("id as noteId", "1 as flare_label_next"), "labels")
+    monkeypatch.setattr(Q, "features", lambda *_: feats)
+    monkeypatch.setattr(Q, "next_labels", lambda *_: labels)
+    out = Q.labelled(spark, "unused")
+    assert out.count() == 2500
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_next_visit_labels_broadcast_no_visit_days(spark):
+    from noteflare.operators.label import next_visit_labels
+    from noteflare.session import materialize
+
+    feats = materialize(spark.range(5000).selectExpr(
+        "id as noteId", "id % 700 as patientId", "if(id % 9 = 0, null, timestamp'2024-01-01' + make_interval(0, 0, 0, int(id / 1400))) as noteDate",
+        "cast(id % 3 = 0 as int) as flare_label"), "dated")
+    out = next_visit_labels(feats)
+    rows = {r[0]: r[1] for r in out.collect()}
+    assert len(rows) == 5000 - 700
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
