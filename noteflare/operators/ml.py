@@ -211,7 +211,7 @@ class GbtParams:
 @dataclass(frozen=True)
 class BoostedFit:
     model: GBTClassificationModel  # cut at the best round
-    rounds_fitted: int
+    rounds_fitted: int  # length of the curve
     best_round: int  # 1-based
     validation_auc: list[float]  # of the first 1, 2, ... trees
 
@@ -345,21 +345,32 @@ def fit_gbt(grow: DataFrame, stop: DataFrame, label: str, weight_col: str, p: Gb
     """M1: boosted trees grown on ``grow``, cut at the round with the best AUC on ``stop``.
 
     The ensemble is fitted without early stopping, first ``patience`` rounds and a few more, then
-    twice as many as before until ``patience`` rounds without a better one have followed the best (or
-    ``max_iter``).  The seed fixes every tree, so a longer fit begins with the shorter one's trees and a
-    doubling costs at most as many trees again as were needed.
+    longer until ``patience`` rounds without a better one have followed the best (or ``max_iter``).  The seed fixes
+    every tree, so a longer fit begins with the shorter one's trees, all of which are grown again
+    (:func:`next_length` keeps such fits few).  The search goes on by doublings: the
+    curve ends at the first of them that holds the patience, however many rounds the last fit has.
     """
-    rounds = min(p.max_iter, p.patience + max(8, p.patience // 4))
+    first = min(p.max_iter, p.patience + max(8, p.patience // 4))
+    shown, best, auc = first, 0, []
     while True:
-        model = GBTClassifier(
-            labelCol=label, featuresCol="features", weightCol=weight_col, maxIter=rounds, stepSize=p.step_size,
-            maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset,
-            seed=p.seed).fit(grow)
-        auc = prefix_auc(stop, model, label)
-        best, over = best_round(auc, p.patience)
-        if over or rounds >= p.max_iter:
-            return BoostedFit(cut_model(model, best), rounds, best, auc)
-        rounds = min(p.max_iter, 2 * rounds)
+        if shown > len(auc):
+            rounds = next_length(shown, first, best, p.max_iter)
+            model = GBTClassifier(
+                labelCol=label, featuresCol="features", weightCol=weight_col, maxIter=rounds, stepSize=p.step_size,
+                maxDepth=p.max_depth, subsamplingRate=p.subsampling_rate, featureSubsetStrategy=p.feature_subset,
+                seed=p.seed).fit(grow)
+            auc = prefix_auc(stop, model, label)
+        best, over = best_round(auc[:shown], p.patience)
+        if over or shown >= p.max_iter:
+            return BoostedFit(cut_model(model, best), shown, best, auc[:shown])
+        shown = min(p.max_iter, 2 * shown)
+
+
+def next_length(needed: int, first: int, best: int, max_iter: int) -> int:
+    """Rounds of the next fit, at least ``needed``: twice that after a first fit whose best round is among its last quarter, and
+    ``max_iter`` once more than half of it is due."""
+    length = 2 * needed if needed == 2 * first and 4 * best > 3 * first else needed
+    return max_iter if 2 * length > max_iter and needed > first else min(length, max_iter)
 
 
 def positive_probability(df: DataFrame, prob_vec: str = "probability", out_col: str = "p") -> DataFrame:

@@ -104,6 +104,26 @@ def test_calibration_brings_scores_to_rates(planted, fit):
         assert abs(row.p_calibrated - 1 / (1 + math.exp(-(w * row.rawPrediction[1] + b)))) < 1e-12
 
 
+def test_refits_stay_few():
+    """A curve still rising at the end of the first fit is followed further; no fit stops just short of the limit."""
+    def grown(best_of, search, max_iter=1000, first=62):
+        total, length, shown = 0, 0, first
+        while True:
+            if shown > length:
+                length = ml.next_length(shown, first, best_of(length), max_iter)
+                assert shown <= length <= max_iter
+                total += length
+            if shown >= min(search, max_iter):
+                return total
+            shown = min(max_iter, 2 * shown)
+
+    rising, early = (lambda n: n), (lambda n: n // 4)
+    assert grown(rising, 62) == 62 and grown(early, 124) == 62 + 124
+    assert grown(rising, 248) == 62 + 248  # 434 by doubling
+    assert grown(rising, 1000) == 62 + 248 + 496 + 1000  # 2,922 by doubling
+    assert grown(early, 62, max_iter=62) == 62 and grown(rising, 70, max_iter=70) == 62 + 70
+
+
 # ---------------------------------------------------------------------------
 # V5, V7
 # ---------------------------------------------------------------------------
