@@ -32,7 +32,7 @@ from noteflare.operators import evaluate as E
 from noteflare.operators import model as M
 from noteflare.operators import scoring as S
 from noteflare.operators import vectors as V
-from noteflare.operators.joins import bounded, note_sized
+from noteflare.operators.joins import bounded, few_or_note_sized
 from noteflare.session import materialize, spread
 from noteflare.sources import io as IO
 from noteflare.sources.fixtures import base_table, fixture_tables
@@ -131,7 +131,7 @@ def next_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes that have a next visit, with its label (W1, P11): the feature
     table joined to the narrow label table on the note key."""
-    return features(spark, sf_dir).join(note_sized(next_labels(spark, sf_dir)), "noteId", "inner")
+    return features(spark, sf_dir).join(few_or_note_sized(next_labels(spark, sf_dir)), "noteId", "inner")
 
 
 def clear_session_tables() -> None:
@@ -672,7 +672,7 @@ def q_model_roundtrip(spark, sf_dir):
     B.save_bundle(spark, r["bundle"], root)
     loaded = B.load_bundle(spark, root)
     ids = r["data"].where(F.col("split") == "test").select(F.col("noteId").cast("string").alias("noteId"))
-    raw = request_rows(spark, sf_dir).join(note_sized(ids), "noteId", "left_semi")
+    raw = request_rows(spark, sf_dir).join(few_or_note_sized(ids), "noteId", "left_semi")
     return loaded.score_notes(raw).select(F.col("noteId").cast("long").alias("noteId"), F.col("p").alias("probability"),
                                           "p_calibrated", "flare_risk_level")
 
@@ -803,7 +803,7 @@ def q_feature_table(spark, sf_dir):
     and label-defining columns, keep rows with a next-visit label."""
     n = extract.tidy_columns(notes(spark, sf_dir), EXTRACT_DROP_COLS)
     feats = FE.add_masked_text(FE.note_features(n))
-    out = label.drop_leaks(feats.join(note_sized(next_labels(spark, sf_dir)), "noteId", "inner"))
+    out = label.drop_leaks(feats.join(few_or_note_sized(next_labels(spark, sf_dir)), "noteId", "inner"))
     keep = ["noteId", "patientId", "noteDate", *SAFE_NUMERIC_COLS, "patient_gender", label.TARGET,
             *[c + "_clean" for c in MASK_COLS]]
     return canonical(out.select(*keep))

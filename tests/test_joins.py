@@ -30,9 +30,11 @@ def test_byte_bound_limits_rows(spark):
 
 def test_labelled_notes_are_not_broadcast(spark, monkeypatch):
     """Kept tables look small on disk: neither the features nor the labels may be sent to the driver whole."""
+    from noteflare.operators import joins
     from noteflare.plans import queries as Q
     from noteflare.session import materialize
 
+    monkeypatch.setattr(joins, "FEW_ROWS", 2499)
     feats = materialize(spark.range(5000).selectExpr("id as noteId", "id % 7 as patientId", "true as itch_present"), "feats")
     labels = materialize(spark.range(0, 5000, 2).selectExpr("id as noteId", "1 as flare_label_next"), "labels")
     monkeypatch.setattr(Q, "features", lambda *_: feats)
