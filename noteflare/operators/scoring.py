@@ -54,15 +54,10 @@ def top_influences(contrib: Column, k: int = 5, hide_text: bool = True) -> Colum
     ``contrib`` is ``array<struct<feature, impact>>`` in model feature order.
     Result: ``array<struct<feature, impact (4 dp), direction>>``.
     """
-    indexed = F.transform(contrib, lambda s, i: F.struct(s["feature"].alias("feature"),
-                                                         s["impact"].alias("impact"), i.alias("pos")))
-
-    def cmp(a: Column, b: Column) -> Column:
-        ka, kb = F.abs(a["impact"]), F.abs(b["impact"])
-        return (F.when(ka > kb, -1).when(ka < kb, 1)
-                .when(a["pos"] > b["pos"], -1).when(a["pos"] < b["pos"], 1).otherwise(0))
-
-    top = F.slice(F.array_sort(indexed, cmp), 1, k)
+    # Ordered by the fields of one struct: a comparator function is interpreted for every pair it is asked about.
+    ranked = F.transform(contrib, lambda s, i: F.struct(F.abs(s["impact"]).alias("size"), i.alias("pos"),
+                                                        s["feature"].alias("feature"), s["impact"].alias("impact")))
+    top = F.slice(F.sort_array(ranked, asc=False), 1, k)
 
     def shown(s: Column) -> Column:
         name = s["feature"]
@@ -74,7 +69,12 @@ def top_influences(contrib: Column, k: int = 5, hide_text: bool = True) -> Colum
     named = F.transform(top, shown)
     if not hide_text:
         return named
-    return F.filter(named, lambda s, i: ~F.exists(F.slice(named, 1, i), lambda t: t["feature"] == s["feature"]))
+
+    def first_of_name(found: Column) -> Column:
+        return F.filter(found, lambda s, i: ~F.exists(F.slice(found, 1, i), lambda t: t["feature"] == s["feature"]))
+
+    # As an element of an array the list is bound once; written into the filter's function, it is ranked again for each element.
+    return F.get(F.transform(F.array(named), first_of_name), F.lit(0))
 
 
 def explanation_summary(risk: Column, prob: Column, influences: Column) -> Column:

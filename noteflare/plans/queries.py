@@ -659,7 +659,8 @@ def q_model_influences(spark, sf_dir):
         "noteId", "split", label.TARGET, *[F.col("x")[i].alias(n) for i, n in enumerate(r["names"])])
     scorer = M.fit_linear_scorer(wide.where(F.col("split") == "train"), label.TARGET, r["names"])
     top = scorer.transform(wide).select("noteId", S.top_influences(scorer.contributions()).alias("infl"))
-    return canonical(top.select("noteId", F.posexplode("infl").alias("position", "i")).select(
+    # Outer: a plain posexplode makes Catalyst rank each note a second time, to ask whether its list is empty (it never is).
+    return canonical(top.select("noteId", F.posexplode_outer("infl").alias("position", "i")).select(
         "noteId", "position", "i.feature", "i.impact", "i.direction"))
 
 

@@ -79,3 +79,16 @@ def test_contract_check_quarantines_bad_rows(spark):
     assert got[("p4", 1.5)] == ["probability out of [0,1]"]
     assert got[("p5", None)] == ["probability out of [0,1]"]
     assert got[("p6", 0.7)] == ["label not in {0,1}"]
+
+
+def test_influences_are_ranked_once_a_note(spark):
+    """No comparator function, one sort in the plan, and the order of size, later first among equals."""
+    values = [0.5, -0.5, 0.0, -0.0, 2.0, 0.5, -3.0]
+    df = spark.createDataFrame([(values,)], "x array<double>")
+    contrib = F.array(*[F.struct(F.lit("svd_1" if i in (4, 6) else f"f{i}").alias("feature"), F.col("x")[i].alias("impact"))
+                        for i in range(len(values))])
+    out = df.repartition(2).select(top_influences(contrib, k=6).alias("k"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 1 and "array_sort(" not in plan
+    assert [(s["feature"], s["impact"]) for s in out.first()["k"]] == [
+        ("text_signal", -3.0), ("f5", 0.5), ("f1", -0.5), ("f0", 0.5), ("f3", 0.0)]
