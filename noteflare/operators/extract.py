@@ -102,12 +102,13 @@ def signed_notes(tables: Mapping[str, DataFrame], since: str = DEFAULT_SINCE) ->
 
 def note_base(tables: Mapping[str, DataFrame], dx_ids: Iterable[int] = PSORIASIS_DX_IDS,
               since: str = DEFAULT_SINCE, with_names: bool = True,
-              patient_id: int | None = None) -> DataFrame:
+              patient_id: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per signed cohort note since ``since``.
 
     ``with_names=False`` skips the four provider joins (the training path
     drops the names right away).  ``patient_id`` looks up one patient (P4),
-    in the cohort or not: the filter reaches the notes scan before any join.
+    in the cohort or not: the filter reaches the notes scan before any join.  ``only`` (noteId) keeps those
+    notes of the cohort, before any assessment or body is read for others.
     Assessments and note bodies are cut to the selected notes by a semi join
     before they are grouped or joined.
     """
@@ -116,6 +117,8 @@ def note_base(tables: Mapping[str, DataFrame], dx_ids: Iterable[int] = PSORIASIS
         notes = notes.where(F.col("patientId") == F.lit(patient_id))
     else:
         notes = notes.join(cohort_patients(tables, dx_ids, since), "patientId", "left_semi")
+    if only is not None:
+        notes = notes.join(only, "noteId", "left_semi")
     body = tables["newProgressNotes"].select("noteId", *NOTE_BODY_COLS)
     wanted = notes.select("noteId")
     assessed = {**tables, "pnAssessment": tables["pnAssessment"].join(wanted, "noteId", "left_semi")}

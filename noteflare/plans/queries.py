@@ -94,8 +94,8 @@ def tables(spark: SparkSession, sf_dir: str):
     return _TABLES[key]
 
 
-def notes(spark: SparkSession, sf_dir: str, with_names: bool = True) -> DataFrame:
-    return extract.note_base(tables(spark, sf_dir), PSORIASIS_DX_IDS, FIXTURE_SINCE, with_names=with_names)
+def notes(spark: SparkSession, sf_dir: str, with_names: bool = True, only: DataFrame | None = None) -> DataFrame:
+    return extract.note_base(tables(spark, sf_dir), PSORIASIS_DX_IDS, FIXTURE_SINCE, with_names=with_names, only=only)
 
 
 _MATERIALIZED: dict = {}
@@ -672,8 +672,8 @@ def q_model_roundtrip(spark, sf_dir):
     root = IO.scratch_dir(spark, "models")
     B.save_bundle(spark, r["bundle"], root)
     loaded = B.load_bundle(spark, root)
-    ids = r["data"].where(F.col("split") == "test").select(F.col("noteId").cast("string").alias("noteId"))
-    raw = request_rows(spark, sf_dir).join(few_or_note_sized(ids), "noteId", "left_semi")
+    ids = r["data"].where(F.col("split") == "test").select("noteId")
+    raw = request_rows(spark, sf_dir, only=few_or_note_sized(ids))
     return loaded.score_notes(raw).select(F.col("noteId").cast("long").alias("noteId"), F.col("p").alias("probability"),
                                           "p_calibrated", "flare_risk_level")
 
@@ -682,10 +682,10 @@ def q_model_roundtrip(spark, sf_dir):
 # sources / sinks (S2-S8, P10) and streaming
 # ---------------------------------------------------------------------------
 
-def request_rows(spark, sf_dir) -> DataFrame:
-    """Extracted notes in the scoring-request layout (ids and dates as text)."""
+def request_rows(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """Extracted notes, or ``only`` those of some ids, in the scoring-request layout (ids and dates as text)."""
     from noteflare.operators.bundle import as_request
-    return as_request(notes(spark, sf_dir, with_names=False), IO.REQUEST_TEXT_FIELDS)
+    return as_request(notes(spark, sf_dir, with_names=False, only=only), IO.REQUEST_TEXT_FIELDS)
 
 
 def _shape_col() -> F.Column:

@@ -56,3 +56,14 @@ def test_next_visit_labels_broadcast_no_visit_days(spark):
     rows = {r[0]: r[1] for r in out.collect()}
     assert len(rows) == 5000 - 700
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_notes_are_extracted_alone(spark):
+    """``only`` gives the rows that a later filter gives, and bodies are cut to them before they are joined."""
+    from noteflare.plans import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    ids = Q.notes(spark, sf, with_names=False).select("noteId").where("noteId % 3 = 0")
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    every, chosen = Q.request_rows(spark, sf), Q.request_rows(spark, sf, only=ids)
+    assert rows(chosen) == rows(every.where("cast(noteId as long) % 3 = 0")) and 0 < chosen.count() < every.count()
